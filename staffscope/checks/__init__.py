@@ -2,5 +2,5 @@
 
 
 def all_checks():
-    from . import registry, search  # noqa: F401
+    from . import lookups, registry, search, sync, words  # noqa: F401
     return registry

@@ -90,16 +90,16 @@ select concat(' ', upper(s_name), ' ') as raw_name, s_name as company from {supp
 union all select s.s_name, f.first_name from {supplier} s
   join (select s_nationkey as nation, min(s_name) as first_name from {supplier} group by s_nationkey) f
     on s.s_nationkey = f.nation where s.s_acctbal < 0""",
-    # nouns are heads, "adjective noun" are narrower, gizmo is an alias of widget, bolt is excluded
+    # nouns are heads and "adjective noun" narrower; gizmo is an alias of widget, "hot x" of "cold x"; bolt is excluded
     "fx_term": """
 select distinct split_part(p_name, ' ', 2) as word,
   case when split_part(p_name, ' ', 2) = 'gizmo' then 'widget' else split_part(p_name, ' ', 2) end as canonical,
   cast(null as string) as parent, split_part(p_name, ' ', 2) = 'bolt' as excluded
 from {part}
 union all
-select distinct p_name, p_name,
-  case when split_part(p_name, ' ', 2) = 'bolt' then null when split_part(p_name, ' ', 2) = 'gizmo' then 'widget'
-       else split_part(p_name, ' ', 2) end, false
+select distinct p_name, case when split_part(p_name, ' ', 1) = 'hot' then concat('cold ', split_part(p_name, ' ', 2)) else p_name end,
+  case when split_part(p_name, ' ', 1) = 'hot' or split_part(p_name, ' ', 2) = 'bolt' then null
+       when split_part(p_name, ' ', 2) = 'gizmo' then 'widget' else split_part(p_name, ' ', 2) end, false
 from {part}""",
     # equal texts: the lowest doc_id was written first
     "fx_verdict": """
@@ -176,5 +176,7 @@ def oracle(text: str) -> str:
     visit(text)
     plain = lambda body: _NAME.sub(lambda m: m.group(1), body)
     steps = ",\n".join(f"{name} as ({plain(CTES[name]).strip()})" for name in ordered)
-    recursive = "recursive " if any("union all" in CTES[n] and f"from {n}" in plain(CTES[n]) for n in ordered) else ""
-    return (f"with {recursive}{steps}\n" if ordered else "") + plain(text).strip()
+    body = plain(text).strip()
+    if body.lower().startswith("with "):  # the text brings steps of its own
+        return f"with {steps},\n{body[5:]}" if ordered else body
+    return (f"with {steps}\n" if ordered else "") + body

@@ -327,9 +327,9 @@ define("q_counts", "select cond as claim, count(*) as facts from {q_boost_facts}
 @check("overflow_contributors", """
 select cast(claim as int) as claim, facts from (
   select *, sum(facts) over () as total, sum(facts) over (order by facts desc, claim) - facts as before from {q_counts})
-where total - before > 10000""")
+where total - before > 3000""")
 def overflow(spark, sf):
-    return overflow_contributors(search(spark, sf, BOOSTED).fact_counts(), 10000)
+    return overflow_contributors(search(spark, sf, BOOSTED).fact_counts(), 3000)
 
 
 SELECTED = """

@@ -24,8 +24,8 @@ def reconcile_counts(current: DataFrame, staged: DataFrame, key: str) -> DataFra
     sides = (current.select(F.col(key).alias("k"), F.lit(1).alias("old"), F.lit(0).alias("new"))
              .unionByName(staged.select(F.col(key).alias("k"), F.lit(0).alias("old"), F.lit(1).alias("new")))
              .groupBy("k").agg(F.max("old").alias("old"), F.max("new").alias("new")))
-    return sides.agg(F.count_if("old = 1 and new = 0").alias("gone"), F.count_if("old = 1 and new = 1").alias("same"),
-                     F.count_if("old = 0 and new = 1").alias("added"))
+    return sides.agg(F.count_if(F.expr("old = 1 and new = 0")).alias("gone"), F.count_if(F.expr("old = 1 and new = 1")).alias("same"),
+                     F.count_if(F.expr("old = 0 and new = 1")).alias("added"))
 
 
 def reconcile_edges(edges: DataFrame, experience: DataFrame) -> DataFrame:
