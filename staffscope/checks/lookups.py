@@ -140,7 +140,7 @@ def list_employees(spark, sf):
 
 
 @check("employee_detail", """
-select e.id, e.start_date, e.months, e.title, coalesce((select string_agg(concat(text, coalesce(concat('/', engagement), '')), ',' order by text) from {o_edge} x where x.experience_id = e.id and x.route = 'skill'), '') as skills
+select e.id, e.start_date, e.months, e.title, coalesce((select string_agg(text || coalesce('/' || engagement, ''), ',' order by text) from {o_edge} x where x.experience_id = e.id and x.route = 'skill'), '') as skills
 from {o_experience} e where e.emp_id = '77'""")
 def employee_detail(spark, sf):
     t = base.tables(spark, sf)
@@ -185,9 +185,6 @@ def reading_list(spark, sf):
     return search(spark, sf, JUDGED).reading_list().select("cond", "id", "emp_id", "level_rank", rounded())
 
 
-READING = [F.desc_nulls_last, ]
-
-
 def _reading_order():
     return [F.desc_nulls_last("level_rank"), F.desc("depth"), F.col("emp_id"), F.col("cond"), F.col("id")]
 
@@ -204,7 +201,7 @@ define("q_text", """
 select e.id, concat_ws(chr(10), case when kind = 'internal' then concat('公司内的任职，部门：', coalesce(nullif(department_path, ''), nullif(department, ''), '未登记'))
     else concat('入职前的经历，公司：', coalesce(nullif(company, ''), '未登记')) end,
   case when kind = 'internal' then concat('序列：', seq_l1, ' · ', seq_l2) end, concat('岗位：', coalesce(nullif(title, ''), '未登记')),
-  (select concat('技能：', string_agg(concat_ws(' ', engagement, text), '、' order by text)) from {o_edge} x where x.experience_id = e.id and x.route = 'skill'),
+  (select '技能：' || string_agg(concat_ws(' ', engagement, text), '、' order by text) from {o_edge} x where x.experience_id = e.id and x.route = 'skill'),
   case when description <> '' then concat('简历原文：', description) end) as text from {o_experience} e""")
 
 
@@ -312,7 +309,7 @@ def list_audit(spark, sf):
 
 
 @check("audit_activity", """
-select user_id, time_bucket(interval '1 hour', at) as hour, count(*) as events from {fx_audit} group by 1, 2""")
+select user_id, date_trunc('hour', "at") as hour, count(*) as events from {fx_audit} group by 1, 2""")
 def audit_activity(spark, sf):
     from ..streaming.jobs import activity
     return activity(load(spark, sf, "fx_audit")).select("user_id", "hour", "events")
@@ -398,9 +395,9 @@ t as (select e.emp_id, e.cond, concat_ws(' · ', case when route = 'description'
   concat(case when segments > 1 then '累计' when e.kind = 'external' then '入职前' else '公司内' end, ' ',
     case when basis_months >= 119.4 then cast(cast(round(basis_months / 12.0) as int) as varchar) else printf('%.1f', round(basis_months / 12.0, 1)) end, ' 年')) as text
   from e join {o_experience} x on x.id = e.id)
-select r.rank as "序号", r.emp_id as "工号", p.name as "姓名", p.cur_dept as "部门", a.text as "worked on rings", b.text as "worked on plates elsewhere"
+select r.rank as "序号", r.emp_id as "工号", p.name as "姓名", p.cur_dept as "部门", a.ring as "worked on rings", a.plate as "worked on plates elsewhere"
 from (select emp_id, cast(row_number() over (order by depth desc, emp_id) as int) as rank from {q_flag_page}) r join {cat_person} p on p.emp_id = r.emp_id
-  left join t a on a.emp_id = r.emp_id and a.cond = 0 left join t b on b.emp_id = r.emp_id and b.cond = 1""")
+  left join (select emp_id, max(text) filter (cond = 0) as ring, max(text) filter (cond = 1) as plate from t group by emp_id) a on a.emp_id = r.emp_id""")
 def export_roster_(spark, sf):
     return export_roster(search(spark, sf, FLAGSHIP)).drop("岗位", "职级")
 

@@ -13,7 +13,7 @@ from ..functions.text import name_in
 from ..operators import facets as facet_ops, rank as rank_ops
 from ..operators.hits import (criterion_key, match_phrases, materialise_hits, people_where, segment_flags, segments_where)
 from ..schema import RESULT_MAX, RESULT_PAGE
-from ..session import literal_table
+from ..session import cut_lineage, literal_table
 from .query import Filters, Query
 
 PERSON_DIMS = ["level_band", "level_rank", "recruitment", "education", "education_rank", "school_tier", "overseas"]
@@ -26,7 +26,8 @@ class Search:
 
     `views` are the catalog relations of one pinned corpus version, restricted to the reader's scope; `verdicts`
     those of this search task. `cache=True` keeps facts between the roster, the facets and the evidence;
-    `close()` gives the memory back.
+    `close()` gives the memory back. A query with criteria reads its hits up to six times within one result, so
+    these are written to the checkpoint folder instead of being derived each time.
     """
 
     views: dict[str, DataFrame]
@@ -41,12 +42,15 @@ class Search:
         self.roles = self.query.roles()
         self.claims = [{"mode": c.mode, "min_months": c.min_months, "label": c.label, "cond": at}
                        for at in self.roles["claims"] for c in [self.query.conditions[at]]]
+        self.judged = any(c.seek and c.seek.criterion and not c.off for c in self.query.conditions)
         self.has_must = any(claim["mode"] == "must" for claim in self.claims)
 
     def _keep(self, df: DataFrame) -> DataFrame:
         if self.cache:
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
             self._kept.append(df)
+        elif self.judged:
+            df = cut_lineage(df)
         return df
 
     def close(self) -> None:
