@@ -11,7 +11,7 @@ from ..operators.companies import company_arrays, resolve_company
 from ..operators.derive import build_dictionary, phrases_of
 from ..operators.segments import SAME  # noqa: F401  (re-exported for the sync checks)
 from ..operators.trees import closure
-from ..session import LazyTables, literal_table
+from ..session import LazyTables, cut_lineage, literal_table
 from .inputs import AS_OF, define, load
 
 CRITERION = "a piece of work of some size"
@@ -90,20 +90,39 @@ def dictionary(spark, sf) -> tuple[DataFrame, DataFrame]:
     return build_dictionary(links(spark, sf))
 
 
+_STORED: dict[tuple[str, str], LazyTables] = {}
+_VIEWS: dict[tuple[str, str], LazyTables] = {}
+
+
 def tables(spark: SparkSession, sf: str) -> LazyTables:
-    return LazyTables({
-        "employee": lambda: employee(spark, sf), "experience": lambda: experience(spark, sf),
-        "phrase": lambda: dictionary(spark, sf)[0], "experience_phrase": lambda: dictionary(spark, sf)[1],
-        "term": lambda: terms(spark, sf), "company": lambda: companies(spark, sf)[1],
-        "company_alias": lambda: resolve_company(experience(spark, sf), load(spark, sf, "fx_company_alias"),
-                                                 load(spark, sf, "fx_company")),
-        "industry": lambda: load(spark, sf, "fx_industry"), "record_stream": lambda: streams(spark),
-        "scale": lambda: scale(spark, sf), "employee_record": lambda: records(spark, sf),
-    })
-
-
-def views(spark, sf, people: DataFrame | None = None) -> dict[str, DataFrame]:
-    return catalog(tables(spark, sf), people)
+    """The corpus behind the searches. Like any corpus it is derived once and then read by every query: each table
+    is written on first use and kept for the session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        large = lambda make: lambda: cut_lineage(make(), even=True)
+        small = lambda make: lambda: cut_lineage(make())
+        t = LazyTables({
+            "employee": large(lambda: employee(spark, sf)), "experience": large(lambda: experience(spark, sf)),
+            "links": large(lambda: phrases_of(t["experience"], extractions(spark, sf))),
+            "phrase": small(lambda: build_dictionary(t["links"])[0]),
+            "experience_phrase": large(lambda: build_dictionary(t["links"])[1]),
+            "term": small(lambda: terms(spark, sf)), "company": small(lambda: companies(spark, sf)[1]),
+            "company_alias": small(lambda: resolve_company(t["experience"], load(spark, sf, "fx_company_alias"),
+                                                           load(spark, sf, "fx_company"))),
+            "industry": small(lambda: load(spark, sf, "fx_industry")), "record_stream": lambda: streams(spark),
+            "scale": small(lambda: scale(spark, sf)), "employee_record": large(lambda: records(spark, sf)),
+        })
+        _STORED[key] = t
+    return _STORED[key]
+
+
+def views(spark, sf, people: DataFrame | None = None) -> LazyTables:
+    if people is not None:
+        return catalog(tables(spark, sf), people)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _VIEWS:
+        _VIEWS[key] = catalog(tables(spark, sf))
+    return _VIEWS[key]
 
 
 # --- the same steps in SQL ------------------------------------------------------------------------

@@ -243,8 +243,8 @@ class Search:
             parts.append(self.unconfirmed.select("cond", "id", "emp_id"))
         if self.open_exclusions is not None:
             parts.append(self.open_exclusions.select("cond", "id", "emp_id"))
-        if not parts:
-            return self.views["experience"].select(F.lit(0).alias("cond"), "id", "emp_id", F.lit(False).alias("boost")).limit(0)
+        if not parts:  # nothing is judged
+            parts.append(self.views["experience"].select(F.lit(0).alias("cond"), "id", "emp_id").limit(0))
         rows = reduce(DataFrame.unionByName, parts)
         listed = self.candidates.select("emp_id", "depth", "level_rank", "level_band")
         return rows.join(listed, "emp_id").withColumn("boost", F.col("cond").isin(boosts))

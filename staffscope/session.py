@@ -60,12 +60,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, even: bool = False) -> DataFrame:
     """Write `df` once as a table in the checkpoint folder and go on from there.
 
     Unlike `checkpoint()` this computes the input a single time, and the planner sees the real size of the
-    result. Losing an executor costs nothing that was written.
+    result. Losing an executor costs nothing that was written. `even` asks for files of like size, whatever the
+    skew of the input: worth one exchange where a large table is read many times.
     """
+    if even:
+        df = df.hint("rebalance")
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
