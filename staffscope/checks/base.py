@@ -121,7 +121,7 @@ def views(spark, sf, people: DataFrame | None = None) -> LazyTables:
         return catalog(tables(spark, sf), people)
     key = (spark.sparkContext.applicationId, sf)
     if key not in _VIEWS:
-        _VIEWS[key] = catalog(tables(spark, sf))
+        _VIEWS[key] = catalog(tables(spark, sf), store=True)
     return _VIEWS[key]
 
 

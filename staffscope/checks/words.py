@@ -101,8 +101,7 @@ def collect_words(spark, sf):
     """Vectors stand in for words by hashing both onto the given embeddings."""
     used = in_use(spark, sf)
     vectors = load(spark, sf, "embeddings").select("vec_id", "embedding")
-    count = vectors.agg(F.count("*").alias("_c"))
-    keyed = used.select("word").distinct().crossJoin(count).withColumn("vec_id", F.pmod(F.xxhash64("word"), F.col("_c")))  # one-row frame
+    keyed = used.select("word").distinct().withColumn("vec_id", F.pmod(F.xxhash64("word"), F.lit(vectors.count())))
     words = keyed.join(vectors, "vec_id").select("word", "embedding")
     found = term_ops.collect_words(used, _reviewed(spark, sf), _queue(spark, sf), words, GUIDE, NOW)
     return found.select("word", "people", F.array_join(F.transform("near", lambda n: n["word"]), ",").alias("near"))

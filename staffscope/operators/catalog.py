@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import blank_to_null
-from ..session import LazyTables
+from ..session import LazyTables, cut_lineage
 from .scope import scoped
 from .terms import term_closure
 
@@ -78,16 +78,21 @@ def status_view(records: DataFrame, streams: DataFrame) -> DataFrame:
 RELATIONS = ("person", "experience", "rating", "status", "scale")
 
 
-def catalog(tables, people: DataFrame | None = None) -> LazyTables:
-    """The relations over stored tables, restricted to `people` once so that every count sees the same ones."""
+def catalog(tables, people: DataFrame | None = None, store: bool = False) -> LazyTables:
+    """The relations over stored tables, restricted to `people` once so that every count sees the same ones.
+
+    `store` writes the experience relation when it is first read: company knowledge and skills are then joined once
+    per corpus version and vocabulary instead of once per search, and each search reads only the columns it uses.
+    """
     if people is not None:
         tables = scoped(tables, people)
     t = tables
+    keep = (lambda df: cut_lineage(df, even=True)) if store else (lambda df: df)
     return LazyTables({
         "person": lambda: person_view(t["employee"]),
-        "experience": lambda: experience_view(
+        "experience": lambda: keep(experience_view(
             t["experience"], t["company_alias"], t["company"],
-            segment_skills(t["experience_phrase"], t["phrase"], t["term"])),
+            segment_skills(t["experience_phrase"], t["phrase"], t["term"]))),
         "rating": lambda: rating_view(t["employee_record"], t["record_stream"], t["scale"]),
         "status": lambda: status_view(t["employee_record"], t["record_stream"]),
         "scale": lambda: t["scale"],

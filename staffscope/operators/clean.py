@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import ABSENT, INVALID, duration_months, parse_date
 from ..functions.text import blank_to_null, org_path, trim_unicode
-from ..session import literal_table
+from ..session import literal_table, with_scalars
 from ..schema import (COMPANY_META, EDUCATION_LADDER, EDUCATION_STREAM, LEVEL_STREAM, RECORD_KINDS,
                       UNEMPLOYED_TITLE)
 
@@ -181,7 +181,7 @@ def level_problems(levels: DataFrame) -> DataFrame:
              .agg(F.count("*").alias("level_in_two_bands")))
     heights = (levels.groupBy("band").agg(F.count_distinct("rank").alias("n")).filter("n > 1")
                .agg(F.count("*").alias("band_with_two_heights")))
-    return row.crossJoin(twice).crossJoin(heights)  # three one-row frames
+    return with_scalars(with_scalars(row, twice), heights)
 
 
 def level_bands(df: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def scale_rows(bands: DataFrame, streams: DataFrame, df: DataFrame) -> DataFrame
     one = shaped.agg(
         F.count_if((F.col("stream") == "") | (F.col("value") == "") | F.col("rank").isNull()).alias("incomplete"),
         (F.count("*") - F.count_distinct("stream", "value")).alias("declared_twice"))
-    _refuse(one.crossJoin(undeclared), "scales")
+    _refuse(with_scalars(one, undeclared), "scales")
     return scale_union(bands, shaped)
 
 

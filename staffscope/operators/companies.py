@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import trim_unicode
+from ..session import with_scalars
 from .clean import CorpusError
 from .trees import closure, validate_tree
 
@@ -119,7 +120,7 @@ def resolution_report(experience: DataFrame, aliases: DataFrame, companies: Data
         F.coalesce(F.sum(F.when(F.col("_labelled"), n)), F.lit(0)).alias("labelled"))
     double = (aliases.groupBy(name_key(F.col("raw_name")).alias("k")).agg(F.count_distinct("company").alias("n"))
               .agg(F.count_if(F.col("n") > 1).alias("ambiguous_aliases")))
-    return counts.crossJoin(double)  # two one-row frames
+    return with_scalars(counts, double)
 
 
 def unresolved_spellings(experience: DataFrame, aliases: DataFrame, companies: DataFrame, top: int = 30) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import squeeze
 from ..schema import ENGAGEMENTS
+from ..session import with_scalars
 
 # --- fixed values: endings that make a word an action, and endings nobody would click on ----------------
 ACTION_TAIL = "(建设|搭建|制定|推动|落地|推进|改善|提升|开展)$"
@@ -94,7 +95,7 @@ def eval_review(carried: DataFrame, excluded: DataFrame, terms: DataFrame, words
     parents = terms.filter("parent is not null")
     names = parents.agg(F.count_if((F.char_length("parent") > 8) | F.col("parent").rlike(UNCLICKABLE)).alias("unclickable"),
                         F.count_distinct("parent").alias("names"))
-    return links.crossJoin(kept).crossJoin(dropped).crossJoin(names)  # one-row frames
+    return with_scalars(with_scalars(with_scalars(links, kept), dropped), names)
 
 
 def same_selection(selected: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:

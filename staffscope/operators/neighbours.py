@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import NEIGHBOURS
+from ..session import cut_lineage
 
 
 def unit(col: Column) -> Column:
@@ -16,19 +17,20 @@ def unit(col: Column) -> Column:
     return F.transform(wide, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def nearest(pool: DataFrame, due: DataFrame, k: int = NEIGHBOURS, blocks: int | None = None,
-            due_blocks: int | None = None) -> DataFrame:
+BLOCK_ROWS = 10_000
+
+
+def nearest(pool: DataFrame, due: DataFrame, k: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(word, near, place, score): the k pool words nearest each due word, itself left out.
 
-    The pool holds (word, embedding, pos), due words (word, embedding); `pos`, a text, is the order that decides ties. Pool and due words are cut
-    into blocks and one task compares one block with one block as a matrix product, keeping k rows per due
-    word. Memory per task is two blocks. The second step keeps the best k over all pool blocks; its
-    `row_number` filter is applied on the map side too, so at most k rows per word and task are shuffled.
+    The pool holds (word, embedding, pos), due words (word, embedding); `pos`, a text, is the order that decides ties.
+    Both are cut into hash blocks of about `block_rows` words, so the memory of a task does not grow with the
+    vocabulary; one task compares one block with one block as a matrix product and keeps k rows per due word. The
+    second step keeps the best k over all pool blocks; its `row_number` filter is applied on the map side too, so
+    at most k rows per word and task are shuffled.
     """
-    spark = pool.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks or max(1, int(parts ** 0.5))
-    due_blocks = due_blocks or max(1, parts // blocks)
+    pool, due = cut_lineage(pool.select("word", "embedding", "pos")), cut_lineage(due.select("word", "embedding"))
+    blocks, due_blocks = (max(1, -(-df.count() // block_rows)) for df in (pool, due))
     left = pool.select(F.col("word").alias("near"), unit(F.col("embedding")).alias("v"), "pos",
                        F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("pb"))
     left = left.select("*", F.explode(F.sequence(F.lit(0), F.lit(due_blocks - 1))).alias("db"))

@@ -13,7 +13,7 @@ from ..functions.text import name_in
 from ..operators import facets as facet_ops, rank as rank_ops
 from ..operators.hits import (criterion_key, match_phrases, materialise_hits, people_where, segment_flags, segments_where)
 from ..schema import RESULT_MAX, RESULT_PAGE
-from ..session import cut_lineage, literal_table
+from ..session import cut_lineage, literal_table, with_scalars
 from .query import Filters, Query
 
 PERSON_DIMS = ["level_band", "level_rank", "recruitment", "education", "education_rank", "school_tier", "overseas"]
@@ -65,7 +65,11 @@ class Search:
     def matched(self) -> DataFrame | None:
         patterns = {at: c.seek.patterns for at, c in enumerate(self.query.conditions)
                     if c.seek and c.seek.patterns and not c.off}
-        return match_phrases(self.views["phrase"], self.views["term"], patterns) if patterns else None
+        if not patterns:
+            return None
+        # written first: the planner then knows how many phrases matched and, when they are few, broadcasts them
+        # instead of shuffling every edge of the corpus by phrase
+        return cut_lineage(match_phrases(self.views["phrase"], self.views["term"], patterns))
 
     @cached_property
     def hits(self) -> DataFrame | None:
@@ -255,9 +259,9 @@ class Search:
         height = F.coalesce("level_rank", bottom)
         top = self.pending.filter("not boost").agg(F.max(height).alias("_top"), F.count("*").alias("open"))
         people = self.candidates.select(height.alias("_h"), "level_band")
-        over = people.crossJoin(top).filter(F.col("_h") > F.col("_top"))  # one row of scalars
+        over = with_scalars(people, top).filter(F.col("_h") > F.col("_top"))
         lowest = over.agg(F.min_by("level_band", "_h").alias("above"))
-        return top.filter("open > 0").crossJoin(lowest).select("open", "above")
+        return with_scalars(top.filter("open > 0"), lowest).select("open", "above")
 
     def reading_list(self) -> DataFrame:
         """Unconfirmed segments in reading order (`seniority` desc, roster order, condition, segment).
@@ -265,7 +269,7 @@ class Search:
         What decides who is listed comes first; boosts only once none of that is left.
         """
         first = self.pending.groupBy().agg(F.count_if(~F.col("boost")).alias("_deciding"))
-        rows = self.pending.crossJoin(first).filter((F.col("_deciding") == 0) | ~F.col("boost"))  # one row of scalars
+        rows = with_scalars(self.pending, first).filter((F.col("_deciding") == 0) | ~F.col("boost"))
         return rows.select("cond", "id", "emp_id", "level_rank", "depth")
 
     READING_ORDER = ("level_rank desc nulls last", "depth desc", "emp_id", "cond", "id")

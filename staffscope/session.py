@@ -91,3 +91,8 @@ class LazyTables(Mapping):
 
     def __len__(self):
         return len(self._makers)
+
+
+def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
+    """`df` with the columns of a frame that is one row by construction (an aggregate without keys)."""
+    return df.crossJoin(scalars)

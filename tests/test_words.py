@@ -50,9 +50,9 @@ def table(spark, rows):
     return spark.createDataFrame(full, ops.TERM_DDL)
 
 
-def placed(spark, rows, judged):
+def placed(spark, rows, judged, at_once=100):
     df = spark.createDataFrame([(n, *j) for n, j in enumerate(judged)], "id long, word string, verdict string, target string")
-    out = ops.apply_judgments(table(spark, rows), df, NOW)
+    out = ops.apply_judgments(table(spark, rows), df, NOW, at_once)
     return {r["word"]: (r["canonical"], r["parent"], r["excluded"], r["reviewed_at"] is not None) for r in out.collect()}
 
 
@@ -102,6 +102,12 @@ def test_same_chains_give_one_item_in_any_order(spark):
         assert len({row[0] for row in got.values()}) == 1
 
 
+def test_passes_of_any_length_agree(spark):
+    rows = [(w, w, False, None, False) for w in "abcdefgh"] + [(w + "2", w, False, None, False) for w in "abcd"]
+    judged = [("a", "same", "b"), ("c", "under", "a"), ("b2", "alone", None), ("d", "excluded", None), ("e", "same", "d2"), ("b", "under", "e"), ("c2", "same", "f")]
+    assert placed(spark, rows, judged) == placed(spark, rows, judged, at_once=2)
+
+
 def test_rename_prefers_writers_and_keeps_ties(spark):
     rows = [("a", "a", False, "p", False), ("a2", "a", False, None, False), ("a3", "a", True, None, False), ("p", "p", False, None, False),
             ("kid", "kid", False, "a", False), ("b", "b", False, None, False), ("b2", "b", False, None, False)]
@@ -122,7 +128,7 @@ def test_nearest_against_brute_force(spark):
     unit = unit / np.where(norm == 0, 1, norm)
     scores = np.round(unit @ unit.T, 9)
     got = {}
-    for r in nearest(df, df.drop("pos"), 8, blocks=3, due_blocks=2).collect():
+    for r in nearest(df, df.drop("pos"), 8, block_rows=25).collect():
         got.setdefault(r["word"], {})[r["place"]] = r["near"]
     for at, word in enumerate(words):
         order = sorted((n for n in range(60) if n != at), key=lambda n: (-scores[at, n], words[n]))[:8]
