@@ -164,7 +164,11 @@ def define(name: str, text: str) -> None:
 
 
 def oracle(text: str) -> str:
-    """Full SQL for DuckDB: the needed steps as common table expressions, in dependency order."""
+    """Full SQL for DuckDB: the needed steps as common table expressions, in dependency order.
+
+    Steps are materialised: DuckDB 2.0 sometimes fails inside ("dict-surviving cache") when joins of several union
+    branches flow into one another.
+    """
     ordered: list[str] = []
 
     def visit(body: str) -> None:
@@ -175,7 +179,7 @@ def oracle(text: str) -> str:
 
     visit(text)
     plain = lambda body: _NAME.sub(lambda m: m.group(1), body)
-    steps = ",\n".join(f"{name} as ({plain(CTES[name]).strip()})" for name in ordered)
+    steps = ",\n".join(f"{name} as materialized ({plain(CTES[name]).strip()})" for name in ordered)
     body = plain(text).strip()
     if body.lower().startswith("with "):  # the text brings steps of its own
         return f"with {steps},\n{body[5:]}" if ordered else body

@@ -421,3 +421,40 @@ def reading_loop(spark, sf):
     t = base.tables(spark, sf)
     texts = reading.segment_text(t["experience"], t["experience_phrase"], t["phrase"])
     return read_until_done(search(spark, sf, Query((WIDGET, NO_ANVIL))), texts, _long_titles, cap=320, size=80)
+
+
+@check("eval_review", """
+with c as (select word, canonical, case when word like '% %' and split_part(word, ' ', 2) <> 'bolt' then split_part(word, ' ', 2) else 'ring' end as query, word not like 'old %' as expected from {fx_term}),
+carried as (select c.*, coalesce(g.ancestor is not null, false) or coalesce(q.canonical, c.query) = c.canonical as carried from c left join {fx_term} q on q.word = c.query
+  left join {o_above} g on g.name = c.canonical and g.ancestor = coalesce(q.canonical, c.query))
+select (select count(*) from carried where expected and not carried) as missed, (select count(*) from carried where not expected and carried) as mixed,
+  (select count(*) from {fx_term} where word in ('bolt', 'rod') and not excluded) as kept, (select count(*) from {fx_term} where excluded and word not in ('bolt', 'rod')) as dropped,
+  (select count(*) from {fx_term} where length(parent) > 8) as unclickable, (select count(distinct parent) from {fx_term}) as names""")
+def eval_review(spark, sf):
+    t = base.terms(spark, sf)
+    noun = F.split_part("word", F.lit(" "), F.lit(2))
+    query = F.when(F.col("word").contains(" ") & (noun != "bolt"), noun).otherwise("ring")
+    pairs = t.select("word", query.alias("query"), (~F.col("word").startswith("old ")).alias("expected"))
+    carried = evals.carries(term_closure(t), t, pairs.select("query", "word")).join(pairs, ["query", "word"])
+    excluded = t.filter(F.col("word").isin("bolt", "rod")).select("word")
+    return evals.eval_review(carried, excluded, t, t.select("word"))
+
+
+@check("condition_functions", """
+select o_orderkey, o_totalprice between least(200000, 100000) and greatest(200000, 100000) as between_symmetric, cast(o_orderkey // 7 as bigint) as int_div,
+  datediff('day', cast(o_orderdate as date), date '2002-01-01') as days, concat(o_orderstatus, case when o_totalprice > 250000 then o_orderpriority end) as joined,
+  nullif(list_position(['F', 'O'], o_orderstatus), 0) as place, o_orderstatus is distinct from 'F' as differs, list_has_all(['F', 'O', 'P'], [o_orderstatus]) as contained,
+  not list_contains(['F', 'P'], o_orderstatus) as none_of, o_orderdate < timestamp '1999-01-01' and timestamp '1997-01-01' < o_orderdate + interval 30 day as overlaps,
+  regexp_matches(lower(o_orderpriority), 'high|low') as named from orders""")
+def condition_functions(spark, sf):
+    from ..functions import conditions as c
+    o, status, day = load(spark, sf, "orders"), F.col("o_orderstatus"), F.col("o_orderdate")
+    words = lambda *items: F.array(*[F.lit(i) for i in items])
+    return o.select(
+        "o_orderkey", c.between_symmetric(F.col("o_totalprice"), F.lit(200000), F.lit(100000)).alias("between_symmetric"),
+        c.int_div(F.col("o_orderkey"), F.lit(7)).alias("int_div"), c.days_between(F.lit(AS_OF), day.cast("date")).alias("days"),
+        c.concat_present(status, F.when(F.col("o_totalprice") > 250000, F.col("o_orderpriority"))).alias("joined"),
+        c.position_or_null(words("F", "O"), status).alias("place"), c.is_distinct(status, F.lit("F")).alias("differs"),
+        c.contained_in(F.array(status), words("F", "O", "P")).alias("contained"), c.none_equals(status, words("F", "P")).alias("none_of"),
+        c.periods_overlap(day, day + F.expr("interval 30 days"), F.to_timestamp(F.lit("1997-01-01")), F.to_timestamp(F.lit("1999-01-01"))).alias("overlaps"),
+        c.regex_ci(F.col("o_orderpriority"), "HIGH|low").alias("named"))
