@@ -442,8 +442,8 @@ def eval_review(spark, sf):
 
 @check("condition_functions", """
 select o_orderkey, o_totalprice between least(200000, 100000) and greatest(200000, 100000) as between_symmetric, cast(o_orderkey // 7 as bigint) as int_div,
-  datediff('day', cast(o_orderdate as date), date '2002-01-01') as days, concat(o_orderstatus, case when o_totalprice > 250000 then o_orderpriority end) as joined,
-  nullif(list_position(['F', 'O'], o_orderstatus), 0) as place, o_orderstatus is distinct from 'F' as differs, list_has_all(['F', 'O', 'P'], [o_orderstatus]) as contained,
+  cast(datediff('day', cast(o_orderdate as date), date '2002-01-01') as int) as days, concat(o_orderstatus, case when o_totalprice > 250000 then o_orderpriority end) as joined,
+  cast(nullif(list_position(['F', 'O'], o_orderstatus), 0) as bigint) as place, o_orderstatus is distinct from 'F' as differs, list_has_all(['F', 'O', 'P'], [o_orderstatus]) as contained,
   not list_contains(['F', 'P'], o_orderstatus) as none_of, o_orderdate < timestamp '1999-01-01' and timestamp '1997-01-01' < o_orderdate + interval 30 day as overlaps,
   regexp_matches(lower(o_orderpriority), 'high|low') as named from orders""")
 def condition_functions(spark, sf):
