@@ -107,3 +107,9 @@ def words_in(col: Column, banned, allowed=()) -> Column:
 def dots(*parts: Column) -> Column:
     """Join the parts that are present with a middle dot."""
     return F.array_join(F.filter(F.array(*parts), lambda part: part.isNotNull() & (part != "")), " · ")
+
+
+def text_field(variant: Column, name: str) -> Column:
+    """A field of a VARIANT object where it is a text; NULL where it is missing or anything else."""
+    value = F.try_variant_get(variant, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(variant, f"$.{name}", "string"))

@@ -7,10 +7,9 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import blank_to_null, fits_tag, tag
+from ..functions.text import blank_to_null, fits_tag, tag, text_field
 from ..schema import ENGAGEMENTS, TAGS_PER_SEGMENT
 
-ITEM = "array<struct<text:string,depth:string>>"
 
 
 # --- phrases -----------------------------------------------------------------------------------
@@ -129,9 +128,10 @@ def conform_extractions(answers: DataFrame) -> DataFrame:
     """
     parsed = (answers.withColumn("_v", F.try_parse_json("answer"))
               .filter(F.col("_v").isNotNull() & (F.schema_of_variant("_v").startswith("OBJECT")))
-              .withColumn("_items", F.from_json("answer", f"items {ITEM}")["items"]))
-    word = tag(F.col("item.text"))
-    depth = F.array_position(F.array(*[F.lit(e) for e in ENGAGEMENTS]), tag(F.col("item.depth")))
+              .withColumn("_items", F.try_variant_get("_v", "$.items", "array<variant>")))
+    # an item that is no object, or whose text is no text, is dropped alone
+    word = tag(text_field(F.col("item"), "text"))
+    depth = F.array_position(F.array(*[F.lit(e) for e in ENGAGEMENTS]), tag(text_field(F.col("item"), "depth")))
     rows = (parsed.select("experience_id", F.coalesce("company", F.lit("")).alias("company"),
                           F.posexplode("_items").alias("pos", "item"))
             .select("experience_id", "company", "pos", word.alias("text"), F.nullif(depth, F.lit(0)).alias("depth")))

@@ -61,3 +61,10 @@ def test_scope_uses_whole_levels(spark):
     assert scope.visible(people, scopes, "nobody").isEmpty() and scope.visible(people, scopes, None).count() == 4
     seen = scope.visible(people, scopes, "u")
     assert scope.all_visible(seen, ["1", "1"]) and not scope.all_visible(seen, ["1", "2"])
+
+
+def test_bad_items_of_an_answer_are_dropped_alone(spark):
+    said = ['{"items":[{"text":5},{"text":"Go"}]}', '{"items":[{"text":{"a":1}}]}', '{"items":["Python",{"text":"Go","depth":3}]}', '{"items":7}', '[1]', 'no', '{}']
+    df = spark.createDataFrame([(str(n), "", text) for n, text in enumerate(said)], "experience_id string, company string, answer string")
+    got = {r["experience_id"]: [(i["text"], i["engagement"]) for i in r["items"]] for r in derive.conform_extractions(df).collect()}
+    assert got == {"0": [("Go", None)], "1": [], "2": [("Go", None)], "3": [], "6": []}

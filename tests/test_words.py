@@ -50,9 +50,9 @@ def table(spark, rows):
     return spark.createDataFrame(full, ops.TERM_DDL)
 
 
-def placed(spark, rows, judged, at_once=100):
+def placed(spark, rows, judged):
     df = spark.createDataFrame([(n, *j) for n, j in enumerate(judged)], "id long, word string, verdict string, target string")
-    out = ops.apply_judgments(table(spark, rows), df, NOW, at_once)
+    out = ops.apply_judgments(table(spark, rows), df, NOW)
     return {r["word"]: (r["canonical"], r["parent"], r["excluded"], r["reviewed_at"] is not None) for r in out.collect()}
 
 
@@ -102,10 +102,36 @@ def test_same_chains_give_one_item_in_any_order(spark):
         assert len({row[0] for row in got.values()}) == 1
 
 
-def test_passes_of_any_length_agree(spark):
-    rows = [(w, w, False, None, False) for w in "abcdefgh"] + [(w + "2", w, False, None, False) for w in "abcd"]
-    judged = [("a", "same", "b"), ("c", "under", "a"), ("b2", "alone", None), ("d", "excluded", None), ("e", "same", "d2"), ("b", "under", "e"), ("c2", "same", "f")]
-    assert placed(spark, rows, judged) == placed(spark, rows, judged, at_once=2)
+def straight(rows, judged):
+    """All judgments placed over the whole table in one go."""
+    held = [dict(zip(ops.ROW, (w, c, sent, p, x, None))) for w, c, sent, p, x in rows]
+    return {r["word"]: (r["canonical"], r["parent"], r["excluded"], r["reviewed_at"] is not None) for r in ops.place_all(held, judged, NOW)}
+
+
+def test_parts_and_followers_give_what_the_whole_table_gives(spark):
+    rng = random.Random(12)
+    for _ in range(6):
+        words = [f"w{n}" for n in range(40)]
+        rows = []
+        for n, w in enumerate(words):
+            alias = n > 12 and rng.random() < 0.5
+            head = f"w{rng.randrange(12)}" if alias else w
+            up = None if alias or n == 0 or rng.random() < 0.4 else f"w{rng.randrange(min(n, 12))}"
+            rows.append((w, head, alias and rng.random() < 0.3, up, False))
+        judged = []
+        for _ in range(12):
+            w, v = rng.choice(words[:20]), rng.choice(["same", "under", "alone", "excluded", "same", "under"])
+            t = rng.choice([x for x in words[:20] + ["new"] if x != w])
+            judged.append((w, v, t if v in ("same", "under") else None))
+        assert placed(spark, rows, judged) == straight(rows, judged)
+
+
+def test_a_hub_with_thousands_of_followers(spark):
+    rows = HEADS + [(f"a{n}", "a", n % 5 == 0, None, False) for n in range(3000)] + [(f"k{n}", f"k{n}", False, "a", False) for n in range(3000)]
+    got = placed(spark, rows, [("a", "same", "b"), ("b", "under", "c")])
+    assert got["a7"] == ("b", None, False, False) and got["k7"] == ("k7", "b", False, False) and got["b"] == ("b", "c", False, True)
+    got = placed(spark, rows, [("a", "same", "b"), ("b", "excluded", None)])
+    assert got["a7"] == ("a7", None, False, False) and got["k7"] == ("k7", None, False, False) and len(got) == len(rows)
 
 
 def test_rename_prefers_writers_and_keeps_ties(spark):
@@ -139,7 +165,8 @@ def test_conform_judgments(spark):
     near = [("Go", 3)]
     said = [('{"why":"","kind":"同一件事","target":"Go"}', ("same", "Go")), ('{"why":"","kind":"同一件事","target":"Rust"}', (None, None)),
             ('{"why":"","kind":"属于","target":"后端，"}', ("under", "后端")), ('{"why":"","kind":"属于","target":"go"}', (None, None)),
-            ('{"why":"","kind":"自成一项","target":""}', ("alone", None)), ("nonsense", (None, None)), ('{"kind":"自成一项","target":""}', (None, None))]
+            ('{"why":"","kind":"自成一项","target":""}', ("alone", None)), ("nonsense", (None, None)),
+            ('{"why":"","kind":"属于","target":5}', (None, None)), ('{"why":{},"kind":"自成一项","target":""}', (None, None)), ('[1]', (None, None)), ('{"kind":"自成一项","target":""}', (None, None))]
     df = spark.createDataFrame([(n, "go", near, text) for n, (text, _) in enumerate(said)],
                                "id int, word string, near array<struct<word:string,people:bigint>>, judgment string")
     got = {r["id"]: (r["verdict"], r["target"]) for r in ops.conform_judgments(df).collect()}
