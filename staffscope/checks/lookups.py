@@ -12,6 +12,7 @@ from ..operators.companies import leaf_industries
 from ..operators.derive import first_write
 from ..operators.hits import criterion_key, save_verdicts
 from ..operators.numbering import numbered
+from ..operators.rank import ranked_all
 from ..operators.terms import term_closure
 from ..plans.export import export_roster
 from ..plans.lint import lint_query
@@ -217,7 +218,8 @@ def pack_by_bytes(spark, sf):
     t = base.tables(spark, sf)
     texts = reading.segment_text(t["experience"], t["experience_phrase"], t["phrase"]).select("id", "text")
     batches = reading.plan_batches(search(spark, sf, JUDGED).reading_list(), _reading_order(), 40)
-    return reading.pack_by_bytes(batches.join(texts, "id"), 2000)
+    heads = {at: reading.request_head(c.label, c.seek.criterion) for at, c in enumerate(JUDGED.conditions) if c.seek and c.seek.criterion}
+    return reading.pack_by_bytes(batches.join(texts, "id"), 2000, heads)
 
 
 def _long_titles(criterion, texts):
@@ -322,19 +324,19 @@ with ranked as (select emp_id, row_number() over (order by depth desc, emp_id) a
 cases as (select concat('case-', education_level) as name, emp_id, recruitment = 'BUILDING' as expected from {fx_person} where recruitment in ('BUILDING', 'MACHINERY'))
 select name, count(*) filter (expected) as expected, count(*) filter (expected and rank is not null) as found, count(*) filter (not expected and rank is not null) as intruders,
   cast(min(rank) filter (expected) as int) as best_rank, count(*) filter (expected) = count(*) filter (expected and rank is not null) and count(*) filter (not expected and rank is not null) = 0 as ok
-from cases left join (select * from ranked where rank <= 500) using (emp_id) group by name""")
+from cases left join ranked using (emp_id) group by name""")
 def eval_search(spark, sf):
     people = load(spark, sf, "fx_person").filter("recruitment in ('BUILDING', 'MACHINERY')")
     cases = people.select(F.concat(F.lit("case-"), "education_level").alias("name"), "emp_id", (F.col("recruitment") == "BUILDING").alias("expected"))
-    ranked = search(spark, sf, FLAGSHIP).roster(500).select("emp_id", "rank")
+    ranked = ranked_all(search(spark, sf, FLAGSHIP).ranked).select("emp_id", F.col("rank").cast("int").alias("rank"))
     results = cases.select("name", "emp_id").join(ranked, "emp_id")
     return evals.eval_search(cases, results)
 
 
 define("o_gold", "select cast(p_partkey as varchar) as name, 0 as item, p_name as word, case when p_size > 25 then '主导' end as depth from part union all select cast(p_partkey as varchar), 1, upper(p_type), '提到' from part")
 define("o_items", """
-select distinct cast(l_partkey as varchar) as name, concat('　', upper(p_name)) as text, case when l_quantity >= 25 then '主导' else '做过' end as engagement from lineitem join part on p_partkey = l_partkey where l_discount >= 0.09
-union select distinct cast(l_partkey as varchar), concat(p_type, '建设'), null from lineitem join part on p_partkey = l_partkey where l_tax >= 0.08""")
+select distinct cast(l_partkey as varchar) as name, concat('　', upper(p_name)) as text, case when l_quantity >= 25 then '主导' else '做过' end as engagement from lineitem join part on p_partkey = l_partkey
+union select distinct cast(l_partkey as varchar), concat(p_type, '建设'), null from lineitem join part on p_partkey = l_partkey""")
 
 
 @check("eval_extract", """
@@ -359,9 +361,9 @@ def eval_extract(spark, sf):
     gold = part.select(key, F.lit(0).alias("item"), F.col("p_name").alias("word"), F.when(F.col("p_size") > 25, "主导").alias("depth")).unionByName(
         part.select(key, F.lit(1).alias("item"), F.upper("p_type").alias("word"), F.lit("提到").alias("depth")))
     sold = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    items = sold.filter("l_discount >= 0.09").select(key, F.concat(F.lit("　"), F.upper("p_name")).alias("text"),
+    items = sold.select(key, F.concat(F.lit("　"), F.upper("p_name")).alias("text"),
                                                      F.when(F.col("l_quantity") >= 25, "主导").otherwise("做过").alias("engagement")).unionByName(
-        sold.filter("l_tax >= 0.08").select(key, F.concat("p_type", F.lit("建设")).alias("text"), none.alias("engagement"))).distinct()
+        sold.select(key, F.concat("p_type", F.lit("建设")).alias("text"), none.alias("engagement"))).distinct()
     ok = part.select(key, F.lit("other").alias("word"))
     keep = part.select(key, F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("part"))
     return evals.eval_extract(gold, ok, items, keep, part.select(key, F.col("p_type").alias("part")))
@@ -420,7 +422,7 @@ def reading_loop(spark, sf):
     from ..plans.reading import read_until_done
     t = base.tables(spark, sf)
     texts = reading.segment_text(t["experience"], t["experience_phrase"], t["phrase"])
-    return read_until_done(search(spark, sf, Query((WIDGET, NO_ANVIL))), texts, _long_titles, cap=320, size=80)
+    return read_until_done(search(spark, sf, Query((WIDGET, NO_ANVIL))), texts, _long_titles)
 
 
 @check("eval_review", """

@@ -116,9 +116,9 @@ def banned_words(spark, sf):
 
 # --- profiles, bands, records --------------------------------------------------------------------------
 @check("profile_conflicts", """
-select user_id as emp_id, count(*) as rows from (select distinct cast(user_id as varchar) as user_id, event_type from events where value > 120) group by 1 having count(*) > 1""")
+select user_id as emp_id, count(*) as rows from (select distinct cast(user_id as varchar) as user_id, event_type from events) group by 1 having count(*) > 1""")
 def profile_conflicts(spark, sf):
-    rows = load(spark, sf, "events").filter("value > 120").select(F.col("user_id").cast("string").alias("emp_id"), "event_type")
+    rows = load(spark, sf, "events").select(F.col("user_id").cast("string").alias("emp_id"), "event_type")
     return clean.unique_profiles(rows)[1]
 
 
@@ -202,7 +202,7 @@ def current_position(spark, sf):
 # --- segments -------------------------------------------------------------------------------------------------
 define("o_merge_rows", """
 select emp_id, title, start_date, end_date, coalesce(end_date, date '2002-01-01') as stop, row_number() over () as rn
-from (select emp_id, title, start_date, end_date from {fx_segment} where kind = 'external')""")
+from (select emp_id, title, start_date, end_date from {fx_segment})""")
 define("o_merge_flag", """
 select *, case when start_date > max(stop) over (partition by emp_id, title order by start_date, stop, rn rows between unbounded preceding and 1 preceding) + 1 then 1 else 0 end as fresh
 from {o_merge_rows}""")
@@ -214,19 +214,19 @@ select emp_id, title, min(start_date) as start_date, case when count(*) filter (
   count(*) as rows, cast(greatest(1, round((datediff('day', min(start_date), max(stop)) + 1) / 30.44)) as int) as months
 from {o_merge_island} group by emp_id, title, island""")
 def merge_adjacent(spark, sf):
-    s = load(spark, sf, "fx_segment").filter("kind = 'external'")
+    s = load(spark, sf, "fx_segment")
     rows = s.select("emp_id", F.col("title").alias("segment_key"), "title", "start_date", "end_date", *[
         F.lit("").alias(c) for c in ("department", "department_path", "level", "seq_l1", "seq_l2", "seq_l3")])
     return segment_ops.merge_adjacent(rows, AS_OF).select("emp_id", "title", "start_date", "end_date", "rows", "months")
 
 
 @check("merge_report", """
-select (select count(*) from {fx_segment} where kind = 'internal') + (select count(distinct (emp_id, title, island)) from {o_merge_island}) as segments,
-  (select count(*) from {o_merge_island}) - (select count(distinct (emp_id, title, island)) from {o_merge_island}) as merged_rows,
-  (select count(*) from {fx_segment} where kind = 'internal') as without_key""")
+select (select count(distinct (emp_id, title, island)) from {o_merge_island}) + (select count(*) from {fx_segment} where title like 'S%') as segments,
+  (select count(*) from {fx_segment} where title not like 'S%') - (select count(distinct (emp_id, title, island)) from {o_merge_island}) as merged_rows,
+  (select count(*) from {fx_segment} where title like 'S%') as without_key""".replace("from {o_merge_island}", "from {o_merge_island} where title not like 'S%'"))
 def merge_report(spark, sf):
     s = load(spark, sf, "fx_segment")
-    key = F.when(F.col("kind") == "external", F.col("title")).otherwise("")
+    key = F.when(F.col("title").startswith("S"), "").otherwise(F.col("title"))
     rows = s.select("emp_id", key.alias("segment_key"), "title", "start_date", "end_date", *[
         F.lit("").alias(c) for c in ("department", "department_path", "level", "seq_l1", "seq_l2", "seq_l3")])
     return segment_ops.merge_report(segment_ops.merge_adjacent(rows, AS_OF))
@@ -394,10 +394,10 @@ def seq_tree(spark, sf):
 
 # answers built from a segment: a word twice with two depths, one word that holds the company name, one too long
 @check("conform_extractions", """
-select id as experience_id, concat_ws('|', concat(word, '=', case when quantity >= 25 then '主导' else '做过' end), concat(split_part(word, ' ', 1), '=?')) as items
-from {fx_segment} where kind = 'external' and discount >= 0.02""")
+select id as experience_id, concat_ws('|', concat(word, '=', case when quantity >= 25 then '主导' else '做过' end), case when company = '' then 'x=主导' end, concat(split_part(word, ' ', 1), '=?')) as items
+from {fx_segment}""")
 def conform_extractions(spark, sf):
-    s = load(spark, sf, "fx_segment").filter("kind = 'external' and discount >= 0.02")
+    s = load(spark, sf, "fx_segment")
     item = lambda text, depth: F.struct(text.alias("text"), depth.alias("depth"))
     items = F.array(item(F.concat(F.lit("　"), "word", F.lit("；")), F.lit("做过")), item(F.concat("company", F.lit("x")), F.lit("主导")),
                     item(F.lit("a word that is much too long"), F.lit("主导")),
@@ -411,9 +411,9 @@ def conform_extractions(spark, sf):
 
 @check("conform_alignments", """
 select id as experience_id, case when quantity < 10 then '' when quantity < 40 then split_part(word, ' ', 1) end as seq_l1,
-  case when quantity < 10 then '' when quantity < 40 then split_part(word, ' ', 2) end as seq_l2 from {fx_segment} where kind = 'external'""")
+  case when quantity < 10 then '' when quantity < 40 then split_part(word, ' ', 2) end as seq_l2 from {fx_segment}""")
 def conform_alignments(spark, sf):
-    s = load(spark, sf, "fx_segment").filter("kind = 'external'")
+    s = load(spark, sf, "fx_segment")
     line = F.concat(F.split_part("word", F.lit(" "), F.lit(2)), F.lit("（"), F.split_part("word", F.lit(" "), F.lit(1)), F.lit("）"))
     said = F.when(F.col("quantity") < 10, " ").when(F.col("quantity") < 40, line).otherwise(F.concat(F.lit("- "), line))
     answers = s.select(F.col("id").alias("experience_id"), F.to_json(F.struct(said.alias("seq"))).alias("answer"))

@@ -80,10 +80,10 @@ def _reviewed(spark, sf):
 
 
 def _queue(spark, sf):
-    """One queue row per word that starts with a c, collected under two guides."""
-    words = base.terms(spark, sf).filter(F.col("word").startswith("c") | F.col("word").startswith("n"))
+    """One queue row per word; those that start with a c under today's guide, the others under an older one."""
+    words = base.terms(spark, sf)
     near = F.array(F.struct(F.split_part("word", F.lit(" "), F.lit(2)).alias("word"), F.lit(1).cast("bigint").alias("people")))
-    old = F.col("word").startswith("new")
+    old = ~F.col("word").startswith("c")
     return words.select(F.xxhash64("word").alias("id"), F.when(old, "guide-1").otherwise(GUIDE).alias("guide_identity"), "word",
                         F.lit(1).cast("bigint").alias("people"), near.alias("near"), F.lit(NOW).cast("timestamp").alias("collected_at"),
                         F.when(F.col("word").endswith("r"), "model").alias("judge"), F.when(F.col("word").endswith("r"), "{}").alias("judgment"))
@@ -169,7 +169,7 @@ def queue_open(spark, sf):
     return term_ops.queue_open(_queue(spark, sf), GUIDE).select("word")
 
 
-@check("judge_tally", "select 'model' as judge, count(*) as words from {fx_term} where (word like 'c%' or word like 'n%') and word like '%r'")
+@check("judge_tally", "select 'model' as judge, count(*) as words from {fx_term} where word like '%r'")
 def judge_tally(spark, sf):
     return term_ops.judge_tally(_queue(spark, sf))
 
@@ -191,7 +191,7 @@ define("o_heads", """
 select u.word, u.people, t.parent from {o_in_use} u left join {fx_term} t on t.word = u.word
 where not u.alias and (t.word is null or t.word = t.canonical) and not coalesce(t.excluded, false)""")
 define("o_spellings", "select t.canonical as head, t.word from {fx_term} t where t.word <> t.canonical and t.word in (select word from {o_in_use})")
-define("o_queued", "select distinct coalesce(t.canonical, q.word) as head from (select word from {fx_term} where word like 'c%' or word like 'n%') q left join {fx_term} t on t.word = q.word")
+define("o_queued", "select distinct coalesce(t.canonical, q.word) as head from (select word from {fx_term}) q left join {fx_term} t on t.word = q.word")
 
 
 @check("list_terms", """

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.dates import gap_months
 from ..schema import (BOOST_WEIGHT, ENGAGEMENT_FACTOR, RECENCY_HALF, RESULT_PAGE, TENURE_HALF,
                       UNKNOWN_ENGAGEMENT_FACTOR)
+from .numbering import numbered
 
 
 def factor(route: Column, engagement: Column) -> Column:
@@ -108,10 +109,15 @@ def top(people: DataFrame, limit: int = RESULT_PAGE) -> DataFrame:
 
 
 def numbered_page(page: DataFrame) -> DataFrame:
-    """`rank` from 1 on a page that was cut already (at most RESULT_MAX rows)."""
+    """`rank` from 1 on a page that was cut already."""
     return page.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("depth"), "emp_id")))
 
 
+def ranked_all(people: DataFrame) -> DataFrame:
+    """`rank` from 1 over everybody, without bringing them together in one task."""
+    return numbered(people, [F.desc("depth"), F.col("emp_id")], name="rank")
+
+
 def ordered_evidence(facts: DataFrame, based: DataFrame, people: DataFrame) -> DataFrame:
     """Counted segments of satisfied claims for the people of a page, with their place within person and claim."""
     shown = facts.join(people.select("emp_id"), "emp_id", "left_semi").join(

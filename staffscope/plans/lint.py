@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException, ParseException, SparkRuntimeException
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import literal_table
 from .query import Query
@@ -24,13 +24,16 @@ def worded_for_machines(label: str) -> bool:
 
 
 def runs(search: Search, at: int) -> bool:
-    """Whether Spark accepts the condition; the plan is analysed, nothing is executed."""
+    """Whether Spark accepts the condition: its patterns are tried on one empty text, then its plan is analysed."""
     condition = search.query.conditions[at]
+    spark = search.views["person"].sparkSession
     try:
+        for pattern in condition.seek.patterns if condition.seek else ():
+            literal_table(spark, [("",)], "text string").select(F.col("text").rlike(pattern)).collect()
         alone = replace(search, query=Query((condition,)), filters=type(search.filters)())
         alone.selection().schema
         return True
-    except (AnalysisException, ParseException):
+    except (AnalysisException, ParseException, SparkRuntimeException):
         return False
 
 

@@ -42,12 +42,12 @@ UNKNOWN_ENGAGEMENT_FACTOR = 0.85
 TENURE_HALF = 48.0
 RECENCY_HALF = 36.0
 BOOST_WEIGHT = 0.5
-RESULT_PAGE, RESULT_MAX = 50, 500
+RESULT_PAGE = 50
 MIN_MONTHS_BUCKETS = (6, 12, 24, 36)
 CONDITION_MAX, PATTERNS_MAX, PATTERN_MAX, CRITERION_MAX, MONTHS_MAX = 12, 24, 120, 600, 600
 TAG_MAX, TAGS_PER_SEGMENT = 16, 30
 NEIGHBOURS = 8
-READ_BATCH, READ_MAX = 160, 2560
+READ_BATCH = 160
 DAYS_PER_MONTH = 30.44
 
 ORG_SEPARATOR = ">"

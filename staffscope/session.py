@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping
@@ -46,14 +47,14 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str | StructTy
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder lineage is cut into.
 
-    The cluster names it in `spark.checkpoint.dir`. Only a local master may fall back to a fresh temporary
-    folder: executors on other machines could not read it back.
+    The cluster names it in `spark.checkpoint.dir`. Where it is unset and driver and executors are one process, as in
+    tests, a fresh temporary folder is named; anywhere else its absence is an error, as others could not read it back.
     """
     context = spark.sparkContext
     named = (context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
              or context.getConf().get("spark.checkpoint.dir"))
     if not named:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
         named = tempfile.mkdtemp(prefix="staffscope-checkpoint-")
         context.setCheckpointDir(named)

@@ -47,8 +47,10 @@ def test_reading_stops_at_the_thirtieth_word(spark):
 def test_batches_keep_within_bytes(spark):
     rows = [(0, 0, n, f"s{n}", "x" * size) for n, size in enumerate([10, 10, 500, 10, 10], 1)]
     df = spark.createDataFrame(rows, "cond int, batch long, n int, id string, text string")
-    parts = {r["id"]: r["part"] for r in reading.pack_by_bytes(df, 120).collect()}
+    parts = {r["id"]: r["part"] for r in reading.pack_by_bytes(df, 160, {0: 40}).collect()}
     assert parts == {"s1": 0, "s2": 0, "s3": 1, "s4": 2, "s5": 2}
+    tight = {r["id"]: r["part"] for r in reading.pack_by_bytes(df, 160, {0: reading.request_head("x" * 60, "y" * 40)}).collect()}
+    assert tight == {"s1": 0, "s2": 1, "s3": 2, "s4": 3, "s5": 4}
 
 
 def test_scope_uses_whole_levels(spark):
