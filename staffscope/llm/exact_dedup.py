@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_dir, cut_lineage
-from .common import SPACE, boxed, unboxed, whole
+from .common import SPACE, chosen_rows, whole
 
 
 class DigestIndex:
@@ -78,12 +78,15 @@ def decide(rows: DataFrame, index: DigestIndex) -> DataFrame:
 
 def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of each row."""
-    rows = cut_lineage(docs.select("doc_id", F.unhex(digest(whole())).alias("digest"), F.monotonically_increasing_id().alias("row")))
-    return decide(rows, index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return decide(_rows(docs), index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """Written once, so that the row numbers hold."""
+    return cut_lineage(docs.select("doc_id", F.unhex(digest(whole())).alias("digest"), F.monotonically_increasing_id().alias("row")))
 
 
 def keep_new(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    held = cut_lineage(boxed(docs, doc_id=F.col("doc_id"), digest=F.unhex(digest(whole()))))
-    stays = decide(held.select("row", "doc_id", "digest"), index).filter("kept").select("row")
-    return unboxed(held.join(stays, "row", "left_semi"))
+    stays = cut_lineage(decide(_rows(docs), index).filter("kept").select("doc_id", "digest"))
+    return chosen_rows(docs, stays, doc_id=F.col("doc_id"), digest=F.unhex(digest(whole()))).select("doc.*")

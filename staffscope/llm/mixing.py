@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.numbering import numbered
 from ..session import cut_lineage
-from .common import WORD, boxed, whole
+from .common import WORD, chosen_rows, same_text, whole
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 7
 
@@ -125,22 +125,25 @@ def choose(rows: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST,
     placed = numbered(drawn, [F.col("draw"), F.col("row")], by=["source_no", "size"], name="place")
     chosen = placed.join(again, ["source_no", "size"], "left")
     copies = F.when(F.col("size") > 0, whole_times + F.when(F.col("place") <= F.col("again"), 1).otherwise(0)).otherwise(0)
-    return chosen.select("row", "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return chosen.select("doc_id", "source_no", "source", "key", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row."""
-    text = whole()
-    rows = cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source",
-                                   words(text).alias("size"), F.xxhash64(text).alias("key")))
-    return choose(rows, weights, most, seed).select(
+    return choose(_rows(docs), weights, most, seed).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """The rows of the mix with all columns of `docs`, each as often as it is taken."""
-    text = whole()
-    held = cut_lineage(boxed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=words(text), key=F.xxhash64(text)))
-    copies = cut_lineage(choose(held.drop("doc"), weights, most, seed).filter("copies > 0").select("row", "copies"))
-    return (held.select("row", "doc").join(copies, "row")
-            .select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*"))
+    """The rows of the mix with all columns of `docs`, each as often as it is taken; rows that agree in document, source
+    and text share their copies, and the other columns of one of them."""
+    copies = (choose(_rows(docs), weights, most, seed).filter("copies > 0").groupBy("doc_id", "source_no", "key")
+              .agg(F.sum("copies").alias("copies"), F.first("source").alias("source")))
+    taken = chosen_rows(docs, cut_lineage(copies.select("doc_id", "source", "key", "copies")), doc_id=F.col("doc_id"), source=F.col("source"), key=same_text())
+    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """Written once, so that the row numbers hold."""
+    return cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", words(whole()).alias("size"),
+                                   same_text().alias("key")))

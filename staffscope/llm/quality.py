@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import boxed, unboxed, whole
+from .common import boxed, whole
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutter", "n_stops", "n_letters")
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -173,7 +173,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns."""
-    held = cut_lineage(boxed(docs, stats=stats(whole())))
-    model = fit(held.select("stats.*"), rules)
-    return unboxed(judged(held.select("doc", "stats.*"), model, rules, threshold).filter("kept"))
+    """The rows of `docs` that are kept, with all their columns. The statistics are made twice, for the model and for the
+    verdict, which moves no text anywhere."""
+    numbers = cut_lineage(docs.select(stats(whole()).alias("stats")).select("stats.*"))
+    held = boxed(docs, stats=stats(whole())).select("doc", "stats.*")
+    return judged(held, fit(numbers, rules), rules, threshold).filter("kept").select("doc.*")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut_lineage
-from .common import boxed, unboxed, whole
+from .common import chosen_rows, same_text, whole
 
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Positions that must agree, and all their sets; positions are bytes of the fingerprint from the lowest.
@@ -205,7 +205,7 @@ def _labelled(fps: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: of each component the row with the smallest `doc_id` (of
     rows with that id, or of rows without any id, one)."""
-    held = cut_lineage(boxed(docs, doc_id=F.col("doc_id"), fp=fingerprints(whole())))
-    labelled = _labelled(held.select("row", "doc_id", "fp"))
-    stays = (labelled.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min("row").alias("row")))
-    return unboxed(held.join(stays.select("row"), "row", "left_semi"))
+    fps = cut_lineage(docs.select("doc_id", same_text().alias("same"), fingerprints(whole()).alias("fp")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "same")).alias("first")
+    stays = cut_lineage(_labelled(fps).groupBy("label").agg(first).select("first.doc_id", "first.same"))
+    return chosen_rows(docs, stays, doc_id=F.col("doc_id"), same=same_text()).select("doc.*")
