@@ -181,6 +181,8 @@ def oracle(text: str) -> str:
     plain = lambda body: _NAME.sub(lambda m: m.group(1), body)
     steps = ",\n".join(f"{name} as materialized ({plain(CTES[name]).strip()})" for name in ordered)
     body = plain(text).strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {steps},\n{body[15:]}" if ordered else body
     if body.lower().startswith("with "):  # the text brings steps of its own
         return f"with {steps},\n{body[5:]}" if ordered else body
     return (f"with {steps}\n" if ordered else "") + body

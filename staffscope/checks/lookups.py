@@ -213,15 +213,6 @@ def segment_text(spark, sf):
     return reading.segment_text(t["experience"], t["experience_phrase"], t["phrase"]).select("id", "text")
 
 
-@check("pack_by_bytes")
-def pack_by_bytes(spark, sf):
-    t = base.tables(spark, sf)
-    texts = reading.segment_text(t["experience"], t["experience_phrase"], t["phrase"]).select("id", "text")
-    batches = reading.plan_batches(search(spark, sf, JUDGED).reading_list(), _reading_order(), 40)
-    heads = {at: reading.request_head(c.label, c.seek.criterion) for at, c in enumerate(JUDGED.conditions) if c.seek and c.seek.criterion}
-    return reading.pack_by_bytes(batches.join(texts, "id"), 2000, heads)
-
-
 def _long_titles(criterion, texts):
     """A judge for the checks: the text names the larger part sizes."""
     return [n + 1 for n, text in enumerate(texts) if "LARGE" in text or "PROMO" in text]
@@ -416,7 +407,9 @@ def query_lint(spark, sf):
     return lint_query(search(spark, sf, Query((RING, nobody, broken, words, SENIOR))))
 
 
-@check("reading_loop")
+@check("reading_loop", f"""
+select 'turn' as root, '{criterion_key(base.CRITERION)}' as criterion_key, content, fits from {{fx_segment_verdict}}
+union all select distinct 'turn', '{criterion_key(base.CRITERION)}', r.id, contains(text, 'LARGE') or contains(text, 'PROMO') from {{q_reading}} r join {{q_text}} t on t.id = r.id""")
 def reading_loop(spark, sf):
     """What the judge says about the candidates of a search, read round by round until nobody is left open."""
     from ..plans.reading import read_until_done

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import scope as scope_ops, terms as term_ops
 from ..operators.neighbours import nearest
+from ..operators.numbering import numbered
+from ..session import with_scalars
 from . import base
 from .inputs import define, load
 from .registry import check
@@ -96,13 +98,29 @@ def due_words(spark, sf):
     return term_ops.due_words(in_use(spark, sf), _reviewed(spark, sf), _queue(spark, sf), GUIDE)
 
 
-@check("collect_words")
+define("o_word_vector", """
+select w.word, v.embedding, sqrt(list_dot_product(cast(v.embedding as double[]), cast(v.embedding as double[]))) as norm
+from (select word, (row_number() over (order by word) - 1) % (select count(*) from embeddings) as place from (select distinct word from {o_in_use})) w
+  join (select embedding, row_number() over (order by vec_id) - 1 as place from embeddings) v on v.place = w.place""")
+define("o_due", """
+select word, people from {o_in_use} where word not in (select word from {fx_term} where parent is not null)
+  and word not in (select word from {fx_term} where word like 'c%')""")
+
+
+@check("collect_words", """
+select d.word, d.people, coalesce(string_agg(n.near, ',' order by n.place), '') as near from {o_due} d left join (
+  select *, row_number() over (partition by word order by score desc, near) as place from (
+    select w.word, p.word as near, round(list_dot_product(cast(w.embedding as double[]), cast(p.embedding as double[])) / (w.norm * p.norm), 9) as score
+    from {o_word_vector} w join {o_due} d on d.word = w.word join {o_word_vector} p on p.word <> w.word join {o_in_use} u on u.word = p.word and not u.alias
+    where p.word not in (select word from {fx_term} where excluded))) n on n.word = d.word and n.place <= 8
+group by d.word, d.people""")
 def collect_words(spark, sf):
-    """Vectors stand in for words by hashing both onto the given embeddings."""
+    """The given embeddings stand in for vectors of words, in word order."""
     used = in_use(spark, sf)
-    vectors = load(spark, sf, "embeddings").select("vec_id", "embedding")
-    keyed = used.select("word").distinct().withColumn("vec_id", F.pmod(F.xxhash64("word"), F.lit(vectors.count())))
-    words = keyed.join(vectors, "vec_id").select("word", "embedding")
+    vectors = numbered(load(spark, sf, "embeddings").select("vec_id", "embedding"), [F.col("vec_id")], name="place")
+    size = load(spark, sf, "embeddings").agg(F.count("*").alias("size"))
+    placed = with_scalars(numbered(used.select("word").distinct(), [F.col("word")], name="at"), size)
+    words = placed.withColumn("place", (F.col("at") - 1) % F.col("size") + 1).join(vectors, "place").select("word", "embedding")
     found = term_ops.collect_words(used, _reviewed(spark, sf), _queue(spark, sf), words, GUIDE, NOW)
     return found.select("word", "people", F.array_join(F.transform("near", lambda n: n["word"]), ",").alias("near"))
 
