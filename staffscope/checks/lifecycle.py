@@ -349,6 +349,54 @@ def audit_append_(spark, sf):
     return spark.read.parquet(folder).select("action", "emp_id", "at")
 
 
+# --- functions that predicates use ----------------------------------------------------------------------------------------
+# (Spark SQL, the same in DuckDB or None where the text is equal)
+PREDICATES = {
+    "year": ("cast(date_part('year', o_orderdate) as bigint)", None), "quarter": ("cast(extract(quarter from o_orderdate) as bigint)", None),
+    "weekday": ("cast(extract(dow_iso from o_orderdate) as bigint)", "cast(extract(isodow from o_orderdate) as bigint)"),
+    "month_start": ("cast(date_trunc('month', o_orderdate) as date)", None), "made": ("make_date(1999, month(o_orderdate), 1)", "make_date(1999, month(o_orderdate), 1)"),
+    "written": ("date_format(o_orderdate, 'yyyy/MM')", "strftime(o_orderdate, '%Y/%m')"),
+    "read_back": ("to_date(date_format(o_orderdate, 'dd.MM.yyyy'), 'dd.MM.yyyy')", "cast(strptime(strftime(o_orderdate, '%d.%m.%Y'), '%d.%m.%Y') as date)"),
+    "alike": ("o_orderpriority like '%-H%'", None), "unlike": ("o_orderpriority not like '_-L%'", None),
+    "alike_ci": ("o_orderpriority ilike '%URG%'", None), "unlike_ci": ("o_orderpriority not ilike '%low'", None),
+    "at_dash": ("cast(position('-' in o_orderpriority) as bigint)", None), "second": ("split_part(o_orderpriority, '-', 2)", None),
+    "head": ("left(o_orderpriority, 3)", None), "tail": ("right(o_orderpriority, 3)", None), "middle": ("substring(o_orderpriority, 2, 4)", None),
+    "begins": ("startswith(o_orderpriority, '1')", "starts_with(o_orderpriority, '1')"), "size": ("cast(length(o_orderpriority) as bigint)", None),
+    "number": ("try_cast(left(o_orderpriority, 1) as bigint)", None), "no_number": ("try_cast(o_orderpriority as bigint)", None),
+    "no_date": ("try_cast(concat('1999-02-', o_orderstatus) as date)", None), "shortened": ("trim(both '1' from left(o_orderpriority, 1))", "trim(left(o_orderpriority, 1), '1')"),
+    "upper_first": ("upper(left(lower(o_orderpriority), 3))", None), "swapped": ("replace(o_orderpriority, '-', '/')", None)}
+
+
+@check("predicate_functions", "select o_orderkey, " + ", ".join(f"{other or same} as {name}" for name, (same, other) in PREDICATES.items()) + " from orders")
+def predicate_functions(spark, sf):
+    return load(spark, sf, "orders").selectExpr("o_orderkey", *[f"{text} as {name}" for name, (text, _) in PREDICATES.items()])
+
+
+@check("predicate_aggregates", """
+select o_custkey, bool_and(o_totalprice > 20000) as all_large, bool_or(o_totalprice > 300000) as one_huge, string_agg(o_orderstatus, ',' order by o_totalprice desc, o_orderkey) as by_price,
+  string_agg(case when o_orderstatus <> 'F' then o_orderpriority end, '|' order by o_orderdate, o_orderkey) as open_by_day, cast(count(*) filter (o_orderstatus = 'F') as bigint) as done from orders group by o_custkey""")
+def predicate_aggregates(spark, sf):
+    from ..functions.conditions import string_agg
+    text = F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority"))
+    found = load(spark, sf, "orders").groupBy("o_custkey").agg(
+        F.bool_and(F.col("o_totalprice") > 20000).alias("all_large"), F.bool_or(F.col("o_totalprice") > 300000).alias("one_huge"),
+        string_agg(F.col("o_orderstatus"), ",", -F.col("o_totalprice"), F.col("o_orderkey")).alias("by_price"),
+        string_agg(text, "|", F.col("o_orderdate"), F.col("o_orderkey")).alias("open_by_day"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    return found.withColumn("open_by_day", F.nullif("open_by_day", F.lit("")))
+
+
+@check("reversed_overlaps", """
+select o_orderkey, least(o_orderdate, shipped) = date '1996-01-01' or
+  (least(o_orderdate, shipped) < date '1997-01-01' and date '1996-01-01' < greatest(o_orderdate, shipped)) as overlaps
+from (select o_orderkey, cast(o_orderdate as date) as o_orderdate, cast(o_orderdate as date) + cast(o_orderkey % 200 - 100 as int) as shipped from orders)""")
+def reversed_overlaps(spark, sf):
+    """Periods of either direction against a year given backwards."""
+    from ..functions.conditions import periods_overlap
+    day = F.col("o_orderdate").cast("date")
+    other = F.date_add(day, (F.col("o_orderkey") % 200 - 100).cast("int"))
+    return load(spark, sf, "orders").select("o_orderkey", periods_overlap(day, other, F.to_date(F.lit("1997-01-01")), F.to_date(F.lit("1996-01-01"))).alias("overlaps"))
+
+
 # --- packing -----------------------------------------------------------------------------------------------------------
 _HEADS = " ".join(f"""when {at} then strlen(cast(json_object('label', '{c.label}', 'criterion', '{c.seek.criterion}', 'segments', json('[]')) as varchar))"""
                   for at, c in enumerate(JUDGED.conditions) if c.seek and c.seek.criterion)

@@ -52,7 +52,10 @@ def position_or_null(values: Column, value) -> Column:
 
 
 def periods_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    return (s1 < e2) & (s2 < e1)
+    """Whether two periods share a moment. Reversed ends are swapped; equal starts always overlap."""
+    ordered = lambda s, e: (F.when(e < s, e).otherwise(s), F.when(e < s, s).otherwise(e))
+    (s1, e1), (s2, e2) = ordered(s1, e1), ordered(s2, e2)
+    return (s1 == s2) | ((s1 < e2) & (s2 < e1))
 
 
 def age_months(a: Column, b: Column) -> Column:
@@ -60,8 +63,13 @@ def age_months(a: Column, b: Column) -> Column:
     return F.floor(F.months_between(a, b)).cast("int")
 
 
-def string_agg(col: Column, separator: str) -> Column:
-    return F.array_join(F.array_sort(F.collect_list(col)), separator)
+def string_agg(col: Column, separator: str, *order: Column) -> Column:
+    """The texts that are there, by `order` or else by themselves."""
+    if not order:
+        return F.array_join(F.array_sort(F.collect_list(col)), separator)
+    keyed = F.struct(*[part.alias(f"by{at}") for at, part in enumerate(order)], col.alias("text"))
+    listed = F.sort_array(F.collect_list(F.when(col.isNotNull(), keyed)))
+    return F.array_join(F.transform(listed, lambda row: row["text"]), separator)
 
 
 def regex_ci(col: Column, pattern: str) -> Column:

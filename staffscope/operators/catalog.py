@@ -51,7 +51,8 @@ def experience_view(experience: DataFrame, company_alias: DataFrame, company: Da
     some = lambda c, name: F.when(F.size(c) > 0, F.col(c)).alias(name)
     seq = lambda n: blank_to_null(F.when(F.col(f"seq_l{n}") != "", F.col(f"seq_l{n}"))
                                   .otherwise(F.col(f"seq_inferred_l{n}"))).alias(f"seq_l{n}")
-    outside = F.when(F.col("kind") == "external", F.col("company"))
+    # segments without a company outside get a key of their own, which no spelling has: one NULL key would be one task
+    outside = F.when((F.col("kind") == "external") & (F.col("company") != ""), F.col("company")).otherwise(F.concat(F.lit("\0"), "id"))
     return (experience.filter(~F.col("unemployed"))
             .join(spelled, outside == F.col("_raw"), "left").join(skills, "id", "left")
             .select("id", "emp_id", "kind", "start_date", "end_date", "months", text("company"),

@@ -79,7 +79,10 @@ def all_visible(people: DataFrame, emp_ids) -> bool:
 
 
 def account_scopes(employee: DataFrame, account_scope: DataFrame) -> DataFrame:
-    """(user_id, orgs, people) per account."""
-    people = scope_members(employee, account_scope).groupBy("user_id").agg(F.count("*").alias("people"))
+    """(user_id, orgs, people) per account. People are counted per path first; accounts meet paths, not people."""
+    at_path = employee.filter(F.col("cur_dept_path") != "").groupBy("cur_dept_path").agg(F.count("*").alias("n"))
+    above = at_path.select("cur_dept_path", "n", F.explode(org_prefixes(F.col("cur_dept_path"))).alias("org_path"))
+    seen = above.join(account_scope, "org_path").select("user_id", "cur_dept_path", "n").distinct()
+    people = seen.groupBy("user_id").agg(F.sum("n").alias("people"))
     orgs = account_scope.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("org_path")), ",").alias("orgs"))
     return orgs.join(people, "user_id", "left").withColumn("people", F.coalesce("people", F.lit(0)))

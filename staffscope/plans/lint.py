@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.errors import AnalysisException, ParseException, SparkRuntimeException
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import literal_table
+from ..session import LazyTables, literal_table
 from .query import Query
 from .search import Search
 
@@ -24,13 +24,15 @@ def worded_for_machines(label: str) -> bool:
 
 
 def runs(search: Search, at: int) -> bool:
-    """Whether Spark accepts the condition: its patterns are tried on one empty text, then its plan is analysed."""
+    """Whether Spark accepts the condition: its patterns are tried on one empty text, then its plan is
+    analysed over relations without rows."""
     condition = search.query.conditions[at]
     spark = search.views["person"].sparkSession
     try:
         for pattern in condition.seek.patterns if condition.seek else ():
             literal_table(spark, [("",)], "text string").select(F.col("text").rlike(pattern)).collect()
-        alone = replace(search, query=Query((condition,)), filters=type(search.filters)())
+        views = LazyTables({name: lambda name=name: search.views[name].limit(0) for name in search.views})
+        alone = replace(search, views=views, query=Query((condition,)), filters=type(search.filters)(), _kept=[])
         alone.selection().schema
         return True
     except (AnalysisException, ParseException, SparkRuntimeException):

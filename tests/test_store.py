@@ -122,6 +122,26 @@ def test_a_pinned_version_does_not_move(spark, tmp_path):
     assert pinned["industry"].count() == 1 and Corpus.at(spark, root)["industry"].count() == 0
 
 
+def test_unchanged_tables_stay_and_two_publishers_cannot_both_win(spark, tmp_path):
+    from staffscope.sources.store import PublishConflict, _write_manifest, publish
+    root = str(tmp_path / "c")
+    one = spark.createDataFrame([("a", None)], "name string, parent string")
+    alias = spark.createDataFrame([("a", "b")], "raw_name string, company string")
+    publish(Corpus({"industry": one, "company_alias": alias}), root)
+    mine, other = Corpus.at(spark, root), Corpus.at(spark, root)
+    assert publish(mine.replace(industry=one.limit(0)), root) == 2
+    now = Corpus.at(spark, root)
+    assert now.folders["company_alias"] == mine.folders["company_alias"] and now.folders["industry"] != mine.folders["industry"]
+    assert now["industry"].count() == 0 and now["company_alias"].count() == 1 and mine["industry"].count() == 1
+    with pytest.raises(PublishConflict):
+        publish(other.replace(company_alias=alias.limit(0)), root)
+    with pytest.raises(PublishConflict):
+        _write_manifest(spark, root, 2, {})
+    assert Corpus.at(spark, root).version == 2 and Corpus.at(spark, root, 1)["industry"].count() == 1
+    with pytest.raises(FileNotFoundError):
+        Corpus.at(spark, root, 9)
+
+
 def test_numbering_a_hot_group(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise("cold").alias("g"), (F.col("id") * 7919 % 1000).alias("v"))
     got = numbered(df, [F.col("v")], ["g"]).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("l")).collect()
