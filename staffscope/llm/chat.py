@@ -14,7 +14,7 @@ holds a bounded number of tokens, so no task gathers a conversation to format it
 made in two steps, inside and over pieces of a conversation. Only reading back for the digests of whole conversations
 needs their texts together, as any digest of a whole does.
 
-A window exceeds the budget only by a turn that is longer than the budget leaves room for: turns are never cut.
+A window exceeds the budget only where a turn, or the system turn it starts with, is too long for it: turns are never cut.
 
 Cases: null text and null role are empty; turns with equal numbers stand in the order of role and text; a null number
 comes first; rows with a null `conv_id` are one conversation; a conversation of a system turn only is one window;
@@ -55,7 +55,7 @@ def tokens(text: Column) -> Column:
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """One row per turn: `at` from 1, `start`, the tokens before it (the system turn counts none), and `is_system`."""
+    """One row per turn: `at` from 1, `start`, the tokens before it, and `is_system`."""
     rows = conversations.select("conv_id", "turn", whole("role").alias("role"), whole().alias("text"))
     rows = rows.withColumn("piece", F.floor(F.col("turn") / PIECE)).withColumn("n_tokens", tokens(F.col("text")))
     piece = ["conv_id", "piece"]
