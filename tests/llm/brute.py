@@ -62,6 +62,28 @@ def near(docs):
     return [(d, f"{f:016x}", min(smallest[label[f]], default=None)) for (d, _), f in zip(docs, fps)]
 
 
+def shingles(text, size=5):
+    """Distinct word shingles; a text of fewer words is one."""
+    found = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(found[i:i + size]) for i in range(len(found) - size + 1)} or {tuple(found)}
+
+
+def similar(texts, size=5, similarity=(4, 5)):
+    """Component of each text at that Jaccard similarity or more: the first text reachable, by comparing all."""
+    held, up = [shingles(t, size) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for i, a in enumerate(held):
+        for j in range(i):
+            if len(a & held[j]) * similarity[1] >= len(a | held[j]) * similarity[0]:
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(texts))]
+
+
 def quality(text):
     found = words(text)
     lines, seen, dup = [x for x in (text or "").split("\n") if WORD.search(x)], set(), 0

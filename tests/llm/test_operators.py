@@ -14,7 +14,7 @@ import pytest
 from conftest import odd_rows, odd_texts
 from tokenizers import Tokenizer
 
-from staffscope.llm import byte_bpe, chat, chunks, exact_dedup, mixing, quality, sharding, simhash, token_counts, token_files, url_filters, wavelet
+from staffscope.llm import byte_bpe, chat, chunks, exact_dedup, mixing, quality, sharding, simhash, similar, token_counts, token_files, url_filters, wavelet
 from staffscope.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -181,6 +181,64 @@ def test_keep_one(odd, none):
     assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(none).count() == 0
 
 
+def near_copies(rng, similarity, words=400):
+    """A text and a copy with words changed one by one, as long as they are at least so similar in shingles of five."""
+    first = [f"w{rng.randrange(10 ** 6)}" for _ in range(words)]
+    copy = list(first)
+    while True:
+        trial = list(copy)
+        trial[rng.randrange(words)] = f"x{rng.randrange(10 ** 6)}"
+        a, b = brute.shingles(" ".join(first)), brute.shingles(" ".join(trial))
+        if len(a & b) < similarity * len(a | b):
+            return " ".join(first), " ".join(copy)
+        copy = trial
+
+
+def similar_rows():
+    """Odd texts, near copies of each similarity, what is just too far apart, chains and a line that many texts share."""
+    rng = random.Random(8)
+    texts = [t for _, t in PAIRS]
+    for similarity in (0.7, 0.77, 0.8, 0.85, 0.9, 0.95):
+        for words in (40, 150, 400):
+            texts += near_copies(rng, similarity, words)
+    line = " ".join(f"licence{n}" for n in range(30))
+    texts += [line + " " + " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(rng.choice((3, 5, 9, 60)))) for _ in range(150)]
+    chain = [f"c{n}" for n in range(200)]
+    for _ in range(40):
+        chain[rng.randrange(200)] = f"y{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(chain))
+    four = [f"e{n}" for n in range(8)]
+    texts += [" ".join(four), " ".join(four[:7]), " ".join(four) + " more", " ".join(four[:3]), " ".join(four[:3]).upper()]
+    return [(n if n != 12 else None, t) for n, t in enumerate(texts)]
+
+
+def test_similar_documents(spark, odd, none, monkeypatch):
+    rows = similar_rows()
+    group = dict(zip((t or "" for _, t in rows), brute.similar([t for _, t in rows])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    smallest = {}
+    for doc_id, text in rows:
+        if doc_id is not None:
+            smallest[group[text or ""]] = min(doc_id, smallest.get(group[text or ""], doc_id))
+    for common in (4, 1, 10 ** 9):  # every order of shingles finds the same
+        monkeypatch.setattr(similar, "COMMON", common)
+        kept = [(r.doc_id, group[r.text or ""]) for r in similar.keep_one(docs).collect()]
+        assert Counter(g for _, g in kept) == Counter(set(group.values()))
+        assert all(smallest.get(g) == d for d, g in kept)
+    assert similar.keep_one(odd).columns == odd.columns and similar.keep_one(none).count() == 0
+
+
+def test_pipeline_drops_near_copies_from_a_similarity_of_four_fifths(spark):
+    import corpus_pipeline
+    rng = random.Random(6)
+    for similarity, stay in ((0.79, 1), (0.8, 1), (0.85, 1), (0.9, 1), (0.7, 2)):
+        pairs = [near_copies(rng, similarity) for _ in range(5)]
+        docs = spark.createDataFrame([(n, t) for n, t in enumerate(t for pair in pairs for t in pair)], "doc_id long, text string")
+        stays = len(set(brute.similar([t for pair in pairs for t in pair])))
+        assert similarity < 0.8 or stays == 5 * stay
+        assert corpus_pipeline.near(spark, docs, "").count() == stays
+
+
 # 5
 
 CHAT = "conv_id long, turn long, role string, text string, piece long, at string"
