@@ -1,15 +1,16 @@
 """Chat formatting in budgeted windows.
 
 A conversation becomes windows of whole turns that fit a token budget. Running sums of turn tokens choose the spans:
-the number line of tokens is cut in blocks, a turn belongs to the block its first token lies in, and a turn longer than
-a block is a span of its own. Every window starts with the system turn, then repeats as many of the last turns before
-it as a smaller budget allows. Loss falls on assistant turns, but not on repeated ones: each target counts once.
+a conversation that fits is one window; otherwise the number line of tokens is cut in blocks of the budget less system
+turn and history (half of what the system turn leaves, at least), and a turn belongs to the block its first token lies
+in. A last turn that does not fit beside the others of its block is a span of its own. Every window starts with the
+system turn, then repeats as many of the last turns before it as the budget has room for. Loss falls on assistant turns, but not on repeated ones: each target counts once.
 
 Template: `<|im_start|>ROLE newline TEXT <|im_end|> newline` per turn. Control strings (of this and other templates)
 inside a role or a text get a backslash after their first character, a backslash becomes two, so the split at the marks
 is exact and unescaping gives the text back.
 
-Only DataFrame functions are used. Scale: a turn is moved with its block and, as history, with the next one; a block
+Only DataFrame functions are used. Scale: a turn is moved with its block and, as history, with the few it can be repeated in; a block
 holds a bounded number of tokens, so no task gathers a conversation to format it, however long it is. Running sums are
 made in two steps, inside and over pieces of a conversation. Only reading back for the digests of whole conversations
 needs their texts together, as any digest of a whole does.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut_lineage
 from .common import whole
 
-#: Tokens of a window, of a block, of repeated history, and what the marks of a turn cost.
+#: Tokens of a window, of a block where the system turn fills the budget, kept free for history, and what the marks of a turn cost.
 BUDGET, BLOCK, HISTORY, MARKS = 2048, 512, 256, 4
 #: Consecutive turn numbers whose running sums are made together.
 PIECE = 64
@@ -81,29 +82,41 @@ def windows(conversations: DataFrame, budget: int = BUDGET, block: int = BLOCK,
         raise ValueError("history may not be longer than a block")
     every = cut_lineage(turns(conversations))
     first = every.filter("is_system").select(F.col("conv_id").alias("_conv"), F.struct("at", "role", "text", "n_tokens").alias("system"))
-    # a system turn alone in block 0 makes that block even if no other turn follows
-    own = F.floor(F.col("start") / block)
+    # what a conversation has beside its system turn, and how much of it a block may hold: all if all fits, else room for history stays
+    held_by = F.coalesce(F.max(F.when(F.col("is_system"), F.col("n_tokens"))), F.lit(0).cast("long"))
+    limits = every.groupBy("conv_id").agg(held_by.alias("_system"), F.sum("n_tokens").alias("_total")).withColumn("_free", F.lit(budget) - F.col("_system"))
+    width = (F.when(F.col("_free") <= 0, F.lit(block)).when(F.col("_total") <= budget, F.col("_free"))
+             .otherwise(F.greatest(F.col("_free") - history, F.ceil(F.col("_free") / 2))).cast("long"))
+    limits = cut_lineage(limits.select(F.col("conv_id").alias("_conv"), "_system", "_free", width.alias("_width")))
+    every = every.join(limits, every["conv_id"].eqNullSafe(limits["_conv"])).drop("_conv")
+    # a system turn is in block 0 and makes that block even if no other turn follows
+    begun = F.greatest(F.col("start") - F.col("_system"), F.lit(0))
+    own = F.floor(begun / F.col("_width"))
+    # what is further back than the budget can hold beside the system turn cannot be repeated
+    reach = F.floor((begun + F.greatest(F.col("_free"), F.lit(0))) / F.col("_width"))
+    later = F.when(~F.col("is_system") & (reach > own), F.sequence(own + 1, reach)).otherwise(F.array().cast("array<bigint>"))
     dealt = every.select(
-        "conv_id", F.explode(F.array(F.struct(own.alias("block"), F.lit(True).alias("fresh")),
-                                     F.struct((own + 1).alias("block"), F.lit(False).alias("fresh")))).alias("to"),
+        "conv_id", F.explode(F.concat(F.array(F.struct(own.alias("block"), F.lit(True).alias("fresh"))),
+                                      F.transform(later, lambda to: F.struct(to.alias("block"), F.lit(False).alias("fresh"))))).alias("to"),
         F.struct("at", "start", "n_tokens", "role", "text", "is_system").alias("turn"))
-    # what is further back than the history of the next block cannot be repeated there
-    dealt = dealt.filter(F.col("to.fresh") | (~F.col("turn.is_system") & (F.col("turn.start") >= F.col("to.block") * block - history)))
     held = dealt.groupBy("conv_id", "to.block").agg(
         F.sort_array(F.collect_list(F.when(F.col("to.fresh"), F.col("turn")))).alias("fresh"),
         F.sort_array(F.collect_list(F.when(~F.col("to.fresh"), F.col("turn")))).alias("old")).filter(F.size("fresh") > 0)
     joined = held.join(first, held["conv_id"].eqNullSafe(first["_conv"]), "left").drop("_conv")
-    # a turn longer than a block is a span of its own; it is the last of its block
-    long = F.filter("fresh", lambda turn: turn["n_tokens"] > block)
-    short = F.filter("fresh", lambda turn: turn["n_tokens"] <= block)
+    size = lambda column: F.aggregate(column, F.lit(0).cast("long"), lambda total, turn: total + turn["n_tokens"])
+    # only the last turn of a block can reach past it; where the budget does not hold it beside the others, it is a span of its own
+    beside = F.when(~F.col("fresh")[0]["is_system"], F.col("system.n_tokens"))
+    others = F.size("fresh") - F.when(F.col("fresh")[0]["is_system"], 1).otherwise(0)
+    cut = (size("fresh") + F.coalesce(beside, F.lit(0)) > budget) & (others > 1)
+    joined = joined.withColumn("kept", F.size("fresh") - F.when(cut, 1).otherwise(0))
+    short, long = F.slice("fresh", F.lit(1), F.col("kept")), F.slice("fresh", F.col("kept") + 1, F.size("fresh") - F.col("kept"))
     spans = F.filter(F.array(F.struct(short.alias("fresh"), F.col("old").alias("old")),
                              F.struct(long.alias("fresh"), F.concat("old", short).alias("old"))), lambda span: F.size(span["fresh"]) > 0)
     span = joined.select("conv_id", "system", F.explode(spans).alias("span")).select(
         "conv_id", F.col("span.fresh").alias("fresh"), F.col("span.old").alias("old"),
         F.when(~F.col("span.fresh")[0]["is_system"], F.col("system")).alias("system"))
-    size = lambda column: F.aggregate(column, F.lit(0).cast("long"), lambda total, turn: total + turn["n_tokens"])
     span = span.withColumn("fixed", size("fresh") + F.coalesce(F.col("system.n_tokens"), F.lit(0)))
-    room = F.least(F.lit(history).cast("long"), F.lit(budget) - F.col("fixed"))
+    room = F.lit(budget) - F.col("fixed")
     recent = F.filter("old", lambda turn: ~turn["is_system"] & (F.col("fresh")[0]["start"] - turn["start"] <= room))
     span = span.withColumn("old", recent)
     head = F.when(F.col("system").isNotNull(), F.array(F.struct("system.role", "system.text", F.lit(False).alias("target"))))

@@ -285,6 +285,36 @@ def test_chat(spark):
     assert chat.read_back(chat.windows(frame.limit(0))).count() == 0
 
 
+def test_the_budget_chooses_the_spans(spark):
+    talk = lambda conv, *sizes: [(conv, n, role, "t" * 4 * (size - chat.MARKS)) for n, (role, size) in enumerate(sizes)]
+    rng = random.Random(12)
+    rows = (talk(1, *[("user", 200), ("assistant", 300)] * 4) + talk(2, ("user", 300), ("assistant", 600))
+            + talk(3, ("system", 1200), *[("user", 400), ("assistant", 440)] * 3) + talk(4, ("user", 1500), ("user", 300), ("assistant", 1700))
+            + talk(5, ("system", 1900), *[("user", 60), ("assistant", 70)] * 9) + talk(6, ("system", 300), ("user", 1800), ("assistant", 5)))
+    for conv in range(10, 40):
+        turns = [(("user", "assistant")[n % 2], rng.choice((5, 40, 300, 900, 1900))) for n in range(rng.randint(1, 30))]
+        rows += talk(conv, ("system", rng.choice((8, 140, 1100, 1800))), *turns)
+    size = {(conv, n + 1): len(text) // 4 + chat.MARKS for conv, n, _, text in rows}
+    system = {conv: size[conv, 1] for conv, n, role, _ in rows if role == "system"}
+    made = defaultdict(list)
+    for row in chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect():
+        made[row.conv_id].append(row)
+    for conv, windows in made.items():
+        windows.sort(key=lambda r: r.first_at)
+        if sum(n for (c, _), n in size.items() if c == conv) <= chat.BUDGET:
+            assert len(windows) == 1
+        for row in windows:
+            fresh = row.formatted.count("<|im_end|>\n") - row.n_repeated
+            if row.over_budget:  # only where a turn does not fit even alone
+                assert any(size[conv, row.first_at + n] + system.get(conv, 0) > chat.BUDGET for n in range(fresh))
+            elif (before := size.get((conv, row.first_at - 1))) and row.first_at - 1 > (conv in system):
+                repeated = row.n_repeated - (conv in system)
+                assert repeated or row.n_tokens + before > chat.BUDGET  # a prompt that fits is kept
+                at = row.first_at - repeated - 1
+                assert at <= (conv in system) or row.n_tokens + size[conv, at] > chat.BUDGET  # and all the room is used
+    assert len(made[1]) == len(made[2]) == 1
+
+
 # 6
 
 def test_subset_fits_exactly_where_it_can():
