@@ -2,7 +2,8 @@
 
 The index is a table bucketed and sorted by the SHA-256 of the normalised text (each run of ASCII white space becomes
 one space). New rows are reduced to one entry per digest before anything else moves, anti-joined to the index by sort
-merge (the index side needs neither exchange nor sort) and what is new is appended in the same buckets.
+merge (the index side needs no exchange) and appended in the same buckets: what is new with the row it keeps, what is
+known with the count of the batch. Reading adds the counts up.
 
 Scale: texts are read once, only digests and row numbers travel. Counting combines on the map side, so copies in the
 millions are one row per task; rows get their group's answer by a join that AQE may split on a hot digest.
@@ -36,9 +37,14 @@ class DigestIndex:
         spark.sql(f"CREATE TABLE {self.name} ({self.COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
                   f"INTO {self.buckets} BUCKETS LOCATION '{self.folder}'")
 
-    def entries(self) -> DataFrame:
+    def stored(self) -> DataFrame:
+        """An entry per content and batch; only the first of a content may name a row."""
         return self.spark.table(self.name)
 
+    def entries(self) -> DataFrame:
+        """Each digest once, with the row its first batch named and the rows of all batches."""
+        return self.stored().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("rows").alias("rows"))
+
     def append(self, entries: DataFrame) -> None:
         (entries.select("digest", "keep_id", "rows").repartition(self.buckets, "digest").sortWithinPartitions("digest")
          .write.insertInto(self.name))
@@ -59,20 +65,18 @@ def digest(text: Column) -> Column:
 
 
 def decide(rows: DataFrame, index: DigestIndex) -> DataFrame:
-    """`rows` (row, doc_id, digest) with keep_id, group_size and kept; contents not met before go into the index.
+    """`rows` (row, doc_id, digest) with keep_id, group_size and kept; contents and how often they were met go into the index.
 
     A content that the index holds already keeps the row named there, so none of the new rows is kept.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
     groups = rows.groupBy("digest").agg(first.alias("first"), F.count("*").alias("rows"))
     groups = cut_lineage(groups.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "rows"))
-    new = cut_lineage(groups.hint("merge").join(index.entries().hint("merge"), "digest", "left_anti"))
-    index.append(new)
-    known = index.entries().select("digest", F.col("keep_id").alias("known_id"), F.col("rows").alias("known_rows"))
-    fresh = new.select("digest", F.lit(True).alias("fresh"))
-    answers = cut_lineage(groups.join(known, "digest").join(fresh, "digest", "left").select(
-        "digest", F.col("known_id").alias("keep_id"), "keep_row", F.coalesce("fresh", F.lit(False)).alias("fresh"),
-        (F.col("rows") + F.when(F.col("fresh"), 0).otherwise(F.col("known_rows"))).alias("group_size")))
+    fresh = cut_lineage(groups.hint("merge").join(index.stored().hint("merge"), "digest", "left_anti").select("digest", F.lit(True).alias("fresh")))
+    groups = cut_lineage(groups.join(fresh, "digest", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))))
+    index.append(groups.withColumn("keep_id", F.when(F.col("fresh"), F.col("keep_id"))))
+    known = index.entries().select("digest", F.col("keep_id").alias("known_id"), F.col("rows").alias("group_size"))
+    answers = cut_lineage(groups.join(known, "digest").select("digest", F.col("known_id").alias("keep_id"), "keep_row", "fresh", "group_size"))
     return rows.join(answers, "digest").withColumn("kept", F.col("fresh") & (F.col("row") == F.col("keep_row")))
 
 

@@ -502,6 +502,17 @@ def test_exact_dedup(spark, odd, none):
     fresh.close()
 
 
+def test_counts_of_three_batches(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    batches = ([(5, "a"), (6, "a"), (None, "c")], [(1, "a"), (2, "b"), (7, "c")], [(3, "a"), (4, "b"), (9, "d")])
+    got = [{(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(spark.createDataFrame(batch, "doc_id long, text string"), index).collect()}
+           for batch in batches]
+    index.close()
+    assert got[0] == {(5, 5, 2, True), (6, 5, 2, False), (None, None, 1, True)}
+    assert got[1] == {(1, 5, 3, False), (2, 2, 1, True), (7, None, 2, False)}
+    assert got[2] == {(3, 5, 4, False), (4, 2, 2, False), (9, 9, 1, True)}
+
+
 # pipeline
 
 def test_pipeline(spark, odd, none, tmp_path):
