@@ -128,6 +128,12 @@ class Memory:
         for cut in cuts:
             yield [long[p] if p in long else known[p] for p in cut] if long else list(map(known.__getitem__, cut))
 
+    def encode_pieces(self, new: set[str]) -> dict[str, object]:
+        """What is kept of each of these pieces, for callers with a memory of their own."""
+        if len(self._stems) > REMEMBERED:
+            self._stems.clear()
+        return self._encode_new(new)
+
     def _encode_new(self, new: set[str]) -> dict[str, object]:
         parts = {}
         for piece in new:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir, literal_table
-from . import byte_bpe, chat, exact_dedup, mixing, quality, sharding, simhash, token_counts, token_files, url_filters
+from . import alignment, byte_bpe, chat, exact_dedup, mixing, quality, sharding, simhash, token_counts, token_files, toxicity, url_filters, whitening
 from .common import table
 
 #: Two turns whose texts are made of the marks of another template.
@@ -66,9 +66,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         index.close()
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {run.__name__: run for run in (
     op1_token_counts, op2_url_filters, op3_token_files, op4_simhash, op5_chat_windows, op6_mixing, op7_quality, op8_byte_bpe,
-    op9_sharding, op10_exact_dedup)}
+    op9_sharding, op10_exact_dedup, op11_whitening, op12_alignment, op13_toxicity)}
 
 ORACLES = {
     "op2_url_filters": r"""
