@@ -33,6 +33,17 @@ select cast(c_custkey as string) as emp_id, c_name as name,
   case when c_nationkey < 8 then '985' when c_nationkey < 16 then '211' else '' end as school_tier,
   case when c_acctbal < 0 then null else c_acctbal > 5000 end as overseas_educated
 from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey""",
+    # profiles as a source gives them: without a number, off the ladder, told twice, told differently
+    "fx_raw_profile": """
+select case when cast(emp_id as int) % 50 = 0 then ' ' else concat(' ', emp_id) end as emp_id, name,
+  case when education_rank = 1 then 'soon' when education_rank = 2 then '' else '1996-06-01' end as hire_date,
+  case when level_rank = 2 then '研究员' when level_rank = 3 and education_rank = 4 then ' 学徒' else education_level end as education_level,
+  school, school_tier, overseas_educated, recruitment
+from {fx_person}
+union all select concat(' ', emp_id), name, '', education_level, school, school_tier, overseas_educated, recruitment
+from {fx_person} where cast(emp_id as int) % 7 = 0 and education_rank = 2 and level_rank < 2
+union all select emp_id, concat(name, ' x'), '', education_level, school, school_tier, overseas_educated, recruitment
+from {fx_person} where cast(emp_id as int) % 11 = 0 and cast(emp_id as int) % 50 <> 0""",
     "fx_raw_interval": f"""
 select {SEGMENT_ID} as segment_id,
   cast(o_custkey as string) as emp_id, cast(o_orderdate as date) as start_date, cast(l_shipdate as date) as end_date,

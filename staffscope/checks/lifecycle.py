@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from contextlib import contextmanager
 
@@ -11,10 +12,12 @@ from ..operators import clean, derive as derive_ops, reading, scope as scope_ops
 from ..operators.logs import audit_append, audit_rows
 from ..operators.numbering import page
 from ..operators.trees import TreeError, validate_tree
+from ..plans import derive as derive_plan
 from ..plans.query import Condition, Query
 from ..plans.review import review_round
 from ..plans.search import Filters
 from ..session import checkpoint_dir, cut_lineage, literal_table
+from ..sources.answers import AnswerCache
 from ..sources.cases import CaseError, read_cases
 from ..sources.contract import load_source, read_contract_dir, register_source
 from ..sources.store import Corpus, publish
@@ -494,3 +497,81 @@ def intake_stream(spark, sf):
     first = jobs.first_writes(_events(spark, sf).select(*keys, "at"), keys)
     _to_the_end(first.writeStream.foreachBatch(jobs.intake_batch(keys, f"{folder}/rows")).option("checkpointLocation", f"{folder}/state"))
     return spark.read.parquet(f"{folder}/rows").select(*keys)
+
+
+# --- runs that stop and go on -------------------------------------------------------------------------------------
+@check("derive_resumed", """
+select 'stopped' as state, 'segments of the new standard that searches read' as what, cast(null as varchar) as key, '0' as value
+union all select 'stopped', 'segments left', null, cast(count(*) - 2 * cast(ceil(count(*) / 5.0) as bigint) as varchar) from {fx_segment}
+union all select 'lost', 'segments left', null, cast(count(*) - 3 * cast(ceil(count(*) / 5.0) as bigint) as varchar) from {fx_segment}
+union all select 'done', 'segments left', null, '0'
+union all select 'done', 'staged rows', null, '0'
+union all select 'done', 'segment', s.id, concat_ws('|', 'v3', case when quantity < 40 then split_part(s.word, ' ', 1) else '' end,
+  cast(kind = 'external' and not unemployed and ((x.experience_id is null and description <> '') or quantity >= 40) as varchar))
+  from {fx_segment} s left join {fx_extraction} x on x.experience_id = s.id
+union all select 'done', route, experience_id, concat_ws('|', phrase_id, engagement) from {o_edge}
+union all select 'done', 'phrase', id, text from {o_phrase}""")
+def derive_resumed(spark, sf):
+    """A new standard over a corpus that searches read: stopped after two slices, lost in the fourth, then run to its end."""
+    s = load(spark, sf, "fx_segment")
+    own = s.select("id", F.col("derived_identity").alias("_own"))
+    experience = cut_lineage(base.experience(spark, sf).join(own, "id").withColumn("derived_identity", F.col("_own")).drop("_own"))
+    nothing = base.extractions(spark, sf).limit(0)
+    old_phrase, old_edges = derive_ops.build_dictionary(derive_ops.phrases_of(experience.filter("derived_identity is not null"), nothing))
+    root = _folder(spark, "derived")
+    publish(Corpus({"experience": experience, "experience_phrase": old_edges, "phrase": old_phrase}), root)
+    line = F.when(F.col("quantity") < 40, F.split("word", " "))
+    answers = (cut_lineage(base.extractions(spark, sf)),
+               cut_lineage(s.select(F.col("id").alias("experience_id"), line[0].alias("seq_l1"), line[1].alias("seq_l2")).filter("seq_l1 is not null")))
+    rows, asked = -(-experience.count() // 5), []
+
+    def answer(segments):
+        asked.append(segments)
+        if len(asked) == 4:
+            raise ConnectionError("nobody answers")
+        return answers
+    run = lambda **limits: derive_plan.derive_stored(spark, root, "v3", answer, slice_rows=rows, **limits)
+    stopped = run(slices=2)
+    read = Corpus.at(spark, root)["experience"].filter("derived_identity = 'v3'").count()
+    _refused(run, ConnectionError)
+    experience_next = Corpus.at(spark, root)["experience_next"]
+    lost = derive_ops.underived(Corpus.at(spark, root)["experience"], experience_next, "v3").count()
+    done, corpus = run(), Corpus.at(spark, root)
+    staged = corpus["experience_next"].count() + corpus["experience_phrase_next"].count()
+    facts = [("stopped", "segments of the new standard that searches read", None, str(read)), ("stopped", "segments left", None, str(stopped.left)),
+             ("lost", "segments left", None, str(lost)), ("done", "segments left", None, str(done.left)), ("done", "staged rows", None, str(staged))]
+    shown = lambda df, what, key, *parts: df.select(F.lit("done").alias("state"), what.alias("what"), F.col(key).alias("key"), F.concat_ws("|", *parts).alias("value"))
+    return (literal_table(spark, facts, "state string, what string, key string, value string")
+            .unionByName(shown(corpus["experience"], F.lit("segment"), "id", "derived_identity", "seq_inferred_l1", F.col("unanswered").cast("string")))
+            .unionByName(shown(corpus["experience_phrase"], F.col("route"), "experience_id", "phrase_id", "engagement"))
+            .unionByName(shown(corpus["phrase"], F.lit("phrase"), "id", "text")))
+
+
+@check("stored_answers", """
+with asked(text) as (select p_name from part union select s_name from supplier union select text from documents where text is not null)
+select sha256(text) as digest, concat(md5(text), case when text in (select p_name from part) and text not like 'b%' then '|first' else '|second' end) as answer,
+  1 as batches, false as shuffles_the_cache, 0 as asked_again from asked""")
+def stored_answers(spark, sf):
+    """Names asked first, some of the answers no use; then names, suppliers and texts; then all again after compaction."""
+    names = load(spark, sf, "part").select(F.col("p_name").alias("text"))
+    every = (names.unionByName(load(spark, sf, "supplier").select(F.col("s_name").alias("text")))
+             .unionByName(load(spark, sf, "documents").select("text")))
+
+    def says(run):
+        def answer(batches):
+            for batch in batches:
+                useless = run == "first"
+                batch["answer"] = ["?" if useless and text.startswith("b") else f"{hashlib.md5(text.encode()).hexdigest()}|{run}" for text in batch["text"]]
+                yield batch
+        return answer
+    cache, valid = AnswerCache(spark, _folder(spark, "answers")), F.col("answer") != "?"
+    cache.ask(names, "standard", says("first"), valid)
+    cache.ask(every, "standard", says("second"), valid)
+    cache.compact("standard", valid)
+    batches, before = len(cache.batches("standard")), cache.stored("standard").count()
+    found = cut_lineage(cache.ask(every, "standard", says("third"), valid))
+    plan = cache.entries("standard", valid)._jdf.queryExecution().executedPlan().toString()
+    again = cache.stored("standard").count() - before
+    cache.close()
+    return found.select(F.sha2("text", 256).alias("digest"), "answer", F.lit(batches).alias("batches"),
+                        F.lit("Exchange" in plan).alias("shuffles_the_cache"), F.lit(again).alias("asked_again"))

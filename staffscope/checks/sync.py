@@ -8,6 +8,8 @@ from ..functions.dates import duration_months, parse_date
 from ..functions.text import org_path, tag, words_in
 from ..operators import clean, companies as company_ops, corpus as corpus_ops, derive, segments as segment_ops
 from ..operators.trees import closure, depths
+from ..plans import sync as sync_plan
+from ..session import literal_table
 from ..sources.contract import flag_state, parse_flag
 from . import base
 from .inputs import AS_OF, define, load
@@ -247,6 +249,81 @@ def sync_report(spark, sf):
         F.count("*").alias("segments"), F.count_if("unemployed").alias("unemployed"), F.count_distinct("emp_id").alias("people"))
 
 
+# what the steps of a sync leave, in SQL: profiles, rows of the population with the first rule they break
+LADDER = "('高中及以下', '大专', '本科', '硕士', '博士')"
+define("o_profile", f"""
+select trim(emp_id) as emp_id, name, case hire_date when '1996-06-01' then date '1996-06-01' end as hire_date, hire_date = 'soon' as unreadable,
+  case when trim(education_level) in {LADDER} then trim(education_level) else '' end as education_level,
+  case when trim(education_level) not in {LADDER} then trim(education_level) end as off, school, school_tier, overseas_educated, recruitment
+from {{fx_raw_profile}}""")
+define("o_distinct_profile", """
+select distinct emp_id, name, hire_date, education_level, school, school_tier, overseas_educated, recruitment from {o_profile} where emp_id <> ''""")
+define("o_population", "select emp_id, max(hire_date) as hire_date from {o_distinct_profile} group by emp_id having count(*) = 1")
+define("o_sync_row", """
+select s.*, 'L' || cast(cast(quantity as int) % 6 as varchar) as level, case when kind = 'internal' then end_date else coalesce(end_date, hire_date) end as closed,
+  case when kind = 'internal' then case when start_date > date '1997-01-01' then 'start_in_future' when end_date > date '1997-01-01' then 'end_in_future' end
+    when coalesce(end_date, hire_date) is null then 'no_end_and_no_hire_date' when coalesce(end_date, hire_date) < start_date then 'inverted'
+    when start_date > date '1997-01-01' then 'start_in_future' when coalesce(end_date, hire_date) > date '1997-01-01' then 'end_in_future'
+    when coalesce(end_date, hire_date) > hire_date then 'end_after_hire' end as reason
+from {fx_segment} s join {o_population} p on p.emp_id = s.emp_id""")
+define("o_sync_segment", """
+select emp_id, kind, unemployed, start_date, closed, company, department, department_path, company_tag, title, case when kind = 'internal' then seq_l1 else '' end as seq,
+  case when kind = 'internal' then level else '' end as level, case when kind = 'external' and not unemployed then description else '' end as description, count(*) as n
+from {o_sync_row} where reason is null group by all""")
+define("o_sync_open", """
+select p.emp_id, count(*) filter (s.kind = 'internal' and s.closed is null and s.emp_id is not null) as open,
+  max(s.level) filter (s.kind = 'internal' and s.closed is null) as level
+from {o_population} p left join {o_sync_row} s on s.emp_id = p.emp_id and s.reason is null group by p.emp_id""")
+
+
+@check("sync_build_report", """
+with lines as (
+  select 'employees' as "table", 'missing_emp_id' as what, null as value, count(*) as rows from {o_profile} where emp_id = ''
+  union all select 'employees', 'hire_date_unreadable', null, count(*) from {o_profile} where unreadable
+  union all select 'employees', 'education_off_ladder', off, count(*) from {o_profile} where off is not null group by off
+  union all select 'employees', 'repeated_rows', null, (select count(*) from {o_profile} where emp_id <> '') - (select count(*) from {o_distinct_profile})
+  union all select 'employees', 'conflicting_people', null, count(*) from (select emp_id from {o_distinct_profile} group by 1 having count(*) > 1)
+  union all select 'employees', 'population', null, count(*) from {o_population}
+  union all select case kind when 'internal' then 'assignments' else 'external' end, 'not_in_population', null, count(*) from {fx_segment}
+    where emp_id not in (select emp_id from {o_population}) group by kind
+  union all select case kind when 'internal' then 'assignments' else 'external' end, reason, null, count(*) from {o_sync_row} where reason is not null group by kind, reason
+  union all select 'assignments', what, null, count(*) from {o_sync_row}, (values ('segments'), ('without_key')) w(what) where kind = 'internal' and reason is null group by what
+  union all select 'employees', 'position_conflicts', null, count(*) from {o_sync_open} where open > 1
+  union all select 'employees', 'people_without_path', null, count(*) from {o_sync_open} where open <> 1
+  union all select 'employees', 'levels_without_band', null, count(*) from {o_sync_open} where open = 1 and level > 'L3'
+  union all select 'employees', 'level_without_band', level, count(*) from {o_sync_open} where open = 1 and level > 'L3' group by level
+  union all select 'experience', 'repeated_segments', null, cast(sum(n - 1) as bigint) from {o_sync_segment}
+  union all select 'external', 'segments', null, count(*) from {o_sync_segment} where kind = 'external'
+  union all select 'external', 'unemployed', null, count(*) from {o_sync_segment} where unemployed
+  union all select 'companies', what, null, count(*) from {o_sync_segment}, (values ('segments'), ('resolved'), ('labelled')) w(what)
+    where kind = 'external' and not unemployed and company <> '' group by what)
+select * from lines where rows > 0""")
+def sync_build_report(spark, sf):
+    """The report of a sync over a source with every kind of fault in its profiles and segments."""
+    from datetime import date
+    return sync_plan.build(sync_bundle(spark, sf), date(1997, 1, 1))[1]
+
+
+def sync_bundle(spark, sf) -> dict:
+    """The driver's tables as a source: raw profiles, segments of both kinds, companies with their industries."""
+    s, c = load(spark, sf, "fx_segment"), load(spark, sf, "fx_company")
+    blank = lambda *names: [F.lit("").alias(name) for name in names]
+    day = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+    none = lambda *names: s.limit(0).select(*blank(*names))
+    level = F.concat(F.lit("L"), (F.col("quantity").cast("int") % 6).cast("string")).alias("level")
+    levels = literal_table(spark, [(f"L{n}", f"band {n}", str(n)) for n in range(4)], "level string, band string, rank string")
+    return {
+        "employees": load(spark, sf, "fx_raw_profile"), "levels": levels,
+        "assignments": s.filter("kind = 'internal'").select("emp_id", day("start_date"), day("end_date"), "department", "department_path", "title", level,
+                                                            "seq_l1", *blank("seq_l2", "seq_l3", "segment_key")),
+        "external": s.filter("kind = 'external'").select("emp_id", day("start_date"), day("end_date"), "company", "title", "description", "company_tag",
+                                                         *blank("nature"), "unemployed"),
+        "industries": load(spark, sf, "fx_industry"), "companies": c.select("name", "group_name"),
+        "company_industries": c.select(F.col("name").alias("company"), "industry", "main"), "company_circles": none("company", "circle"),
+        "company_aliases": none("raw_name", "company"), "streams": none("stream", "kind", "label", "period", "notes"),
+        "scales": none("stream", "value", "rank"), "records": none("emp_id", "stream", "period_start", "period_end", "value", "recorded_at")}
+
+
 # --- companies --------------------------------------------------------------------------------------------------
 @check("tree_closure", """
 select name, name as ancestor, 0 as depth from {fx_industry} union all select name, parent, 1 from {fx_industry} where parent is not null""")

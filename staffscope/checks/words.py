@@ -272,3 +272,20 @@ left join (select s.user_id, count(distinct p.emp_id) as people from {fx_person}
   on m.user_id = s.user_id""")
 def account_scopes(spark, sf):
     return scope_ops.account_scopes(base.employee(spark, sf), scope_ops.normalise_scopes(load(spark, sf, "fx_scope")))
+
+
+@check("account_page", """
+with accounts as (select distinct user_id, concat(upper(user_id), '@x') as username, concat('Name of ', reverse(user_id)) as name from {o_scope}),
+found as (select *, count(*) over () as total, row_number() over (order by username, user_id) as n from accounts
+  where contains(lower(username), 'r-a') or contains(lower(name), 'r-a')),
+seen as (select s.user_id, count(distinct p.emp_id) as people from {fx_person} p join {o_scope} s on starts_with(concat(p.cur_dept_path, '>'), concat(s.org_path, '>')) group by 1),
+orgs as (select user_id, string_agg(org_path, ',' order by org_path) as orgs from {o_scope} group by user_id)
+select f.user_id, f.username, f.name, o.orgs, coalesce(s.people, 0) as people, f.total, 2 as page from found f join orgs o on o.user_id = f.user_id
+left join seen s on s.user_id = f.user_id where f.n between 3 and 4""")
+def account_page(spark, sf):
+    """Second page of two of the accounts whose user name or name contains a text."""
+    scopes = scope_ops.normalise_scopes(load(spark, sf, "fx_scope"))
+    accounts = scopes.select("user_id").distinct().select("user_id", F.concat(F.upper("user_id"), F.lit("@x")).alias("username"),
+                                                          F.concat(F.lit("Name of "), F.reverse("user_id")).alias("name"))
+    rows, place = scope_ops.account_page(base.employee(spark, sf), scopes, accounts, " R-A ", 2, 2)
+    return rows.withColumn("total", F.lit(place["total"]).cast("long")).withColumn("page", F.lit(place["page"]))

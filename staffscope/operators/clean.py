@@ -139,6 +139,25 @@ def clean_profiles(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept(marked).select(PROFILE_COLUMNS), rejects(marked)
 
 
+def profile_report(marked: DataFrame) -> DataFrame:
+    """(what, value, rows) of `mark_profiles` rows: hire dates that nobody can read, education off the ladder by what it says.
+
+    Counted over the rows as they come, from one aggregate by off-ladder value. It is a plain aggregate, not a metric of
+    the pass: a metric counts a task again that a lost executor repeats.
+    """
+    by_value = marked.groupBy("education_off").agg(F.count("*").alias("rows"), F.count_if("hire_unreadable").alias("hire"))
+    off = F.when(F.col("education_off").isNotNull(), F.struct(F.lit("education_off_ladder").alias("what"), F.col("education_off").alias("value"), F.col("rows")))
+    hire = F.struct(F.lit("hire_date_unreadable").alias("what"), F.lit(None).cast("string").alias("value"), F.col("hire").alias("rows"))
+    lines = by_value.select(F.explode(F.filter(F.array(off, hire), lambda line: line.isNotNull())).alias("line"))
+    return lines.groupBy("line.what", "line.value").agg(F.sum("line.rows").alias("rows"))
+
+
+def profile_repeats(df: DataFrame) -> DataFrame:
+    """One row: profile rows that say exactly what another one says."""
+    same = df.groupBy(*df.columns).agg(F.count("*").alias("n"))
+    return same.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_rows"))
+
+
 def unique_profiles(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Exact repeats collapse; a person whose rows still differ leaves, and is listed in the second result."""
     distinct = df.dropDuplicates()
@@ -308,6 +327,12 @@ def build_employee(profiles: DataFrame, internal: DataFrame, bands: DataFrame) -
         .withColumn("cur_level_rank", F.col("_rank")).drop("_band", "_rank"))
 
 
+def unknown_levels(employee: DataFrame) -> DataFrame:
+    """(level, people): present levels the level table does not have."""
+    return (employee.filter((F.col("cur_level") != "") & F.col("cur_level_rank").isNull())
+            .groupBy(F.col("cur_level").alias("level")).agg(F.count("*").alias("people")))
+
+
 def position_report(employee: DataFrame) -> DataFrame:
     return employee.agg(
         F.count_if("position_conflict").alias("position_conflicts"),

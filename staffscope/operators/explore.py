@@ -36,10 +36,20 @@ VOCABULARY = {"company_tag": ("experience", "company_tag"), "level": ("person",
 
 
 def vocabularies(views) -> DataFrame:
-    """(dim, name, people, rank) for the six dimensions whose values are listed."""
-    return reduce(DataFrame.unionByName, [
-        values_of(views[relation], column).select(F.lit(dim).alias("dim"), "name", "people", "rank")
-        for dim, (relation, column) in VOCABULARY.items()])
+    """(dim, name, people, rank) for the six dimensions whose values are listed: one scan of each relation."""
+    by_relation: dict[str, list[tuple[str, str]]] = {}
+    for dim, (relation, column) in VOCABULARY.items():
+        by_relation.setdefault(relation, []).append((dim, column))
+    return reduce(DataFrame.unionByName, [_listed(views[relation], dims) for relation, dims in by_relation.items()])
+
+
+def _listed(relation: DataFrame, dims: list[tuple[str, str]]) -> DataFrame:
+    step = lambda column: F.col(RANK_OF[column]) if RANK_OF.get(column) in relation.columns else F.lit(None)
+    values = F.array(*[F.struct(F.lit(dim).alias("dim"), F.col(column).cast("string").alias("name"), step(column).cast("int").alias("rank"))
+                       for dim, column in dims])
+    told = relation.select("emp_id", F.explode(F.filter(values, lambda v: v["name"].isNotNull() & ~v["name"].isin(*NOT_A_VALUE))).alias("value"))
+    return (told.groupBy(F.col("value.dim").alias("dim"), F.col("value.name").alias("name"))
+            .agg(F.count_distinct("emp_id").alias("people"), F.min("value.rank").alias("rank")))
 
 
 def _named(views, field: str) -> tuple[DataFrame, list[str], str]:

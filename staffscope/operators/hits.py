@@ -97,21 +97,32 @@ def segments_where(views, hits: DataFrame, conditions: dict[int, tuple[str, dict
     return _sql(hits.sparkSession, f"select e.* from {{_rows}} e where {text}", params, views, _rows=hits)
 
 
-def segment_flags(views, conditions: dict[int, tuple[str, dict]]) -> DataFrame:
-    """(emp_id, q<i>, m<i>): whether some segment satisfies condition i, and the months of those that do.
+def conditions_met(views, relation: str, conditions: dict[int, tuple[str, dict]]) -> DataFrame:
+    """Rows of `experience` or `person` that satisfy some of the predicates, with `conds`, the list of those they satisfy.
 
-    The branches of the union share one aggregation by person, combined before its shuffle.
+    One scan, however many conditions. What a predicate asks of other relations becomes a flag of the row (an existence
+    join) before the list is made.
     """
-    params, rows = {}, []
+    name = {"experience": "e", "person": "p"}[relation]
+    params, cases = {}, []
     for cond, (where, own) in conditions.items():
         text, renamed = scoped_params(where, own, f"c{cond}")
         params |= renamed
-        rows.append(f"select e.emp_id, e.months, {cond} as cond from experience e where {text}")
-    met = _sql(views["experience"].sparkSession, " union all ".join(rows), params, views)
+        cases.append(f"case when ({text}) then {cond} end")
+    text = f"select {name}.*, array_compact(array({', '.join(cases)})) as conds from {{_rows}} {name}"
+    met = _sql(views[relation].sparkSession, text, params, views, _rows=views[relation])
+    return met.filter(F.size("conds") > 0)
+
+
+def segment_flags(views, conditions: dict[int, tuple[str, dict]]) -> DataFrame:
+    """(emp_id, q<i>, m<i>): whether some segment satisfies condition i, and the months of those that do.
+
+    All conditions are tested in one scan and share one aggregation by person, combined before its shuffle.
+    """
+    met = conditions_met(views, "experience", conditions)
     return met.groupBy("emp_id").agg(*[
-        agg for cond in conditions for agg in (
-            F.bool_or(F.col("cond") == cond).alias(f"q{cond}"),
-            F.sum(F.when(F.col("cond") == cond, F.col("months")).otherwise(0)).alias(f"m{cond}"))])
+        agg for cond in conditions for holds in [F.array_contains("conds", cond)] for agg in (
+            F.bool_or(holds).alias(f"q{cond}"), F.sum(F.when(holds, F.col("months")).otherwise(0)).alias(f"m{cond}"))])
 
 
 def people_where(views, conditions: dict[int, tuple[str, dict]], people: DataFrame | None = None) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import org_path, org_prefixes
+from ..functions.text import contains_ci, org_path, org_prefixes
 from ..schema import ORG_SEPARATOR
+from ..session import cut_lineage
+from .numbering import page
 
 
 def scope_members(employee: DataFrame, account_scope: DataFrame) -> DataFrame:
@@ -86,3 +88,21 @@ def account_scopes(employee: DataFrame, account_scope: DataFrame) -> DataFrame:
     people = seen.groupBy("user_id").agg(F.sum("n").alias("people"))
     orgs = account_scope.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("org_path")), ",").alias("orgs"))
     return orgs.join(people, "user_id", "left").withColumn("people", F.coalesce("people", F.lit(0)))
+
+
+def account_page(employee: DataFrame, account_scope: DataFrame, accounts: DataFrame, text: str = "", number: int = 1,
+                 size: int = 50) -> tuple[DataFrame, dict]:
+    """One page of the account table and its place: accounts whose user name or name has `text` in it, by user name, with
+    their organisations and how many people these hold.
+
+    `accounts` has (user_id, username, name). The page is cut first; paths and people are met for its accounts only.
+    """
+    wanted = text.strip()
+    found = accounts.filter(contains_ci(F.col("username"), wanted) | contains_ci(F.coalesce("name", F.lit("")), wanted))
+    shown, place = page(found.select("user_id", "username", "name"), [F.col("username"), F.col("user_id")], number, size)
+    shown = cut_lineage(shown)
+    mine = account_scope.join(shown.select("user_id"), "user_id", "left_semi")
+    held = account_scopes(employee, mine)
+    rows = shown.join(held, "user_id", "left").select(
+        "user_id", "username", "name", F.coalesce("orgs", F.lit("")).alias("orgs"), F.coalesce("people", F.lit(0)).alias("people"))
+    return rows.orderBy("username", "user_id"), place

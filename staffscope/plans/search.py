@@ -11,7 +11,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.text import name_in
 from ..operators import facets as facet_ops, rank as rank_ops
-from ..operators.hits import (criterion_key, match_phrases, materialise_hits, people_where, segment_flags, segments_where)
+from ..operators.hits import (conditions_met, criterion_key, match_phrases, materialise_hits, people_where, segment_flags, segments_where)
 from ..schema import RESULT_PAGE
 from ..session import cut_lineage, literal_table, with_scalars
 from .query import Filters, Query
@@ -281,15 +281,14 @@ class Search:
         none = F.lit(None).cast("string")
         if seeking:
             parts.append(self.segments.select("cond", "emp_id", "id", "months").distinct())
-        for at, c in enumerate(self.query.conditions):
-            if c.off or c.seek:
-                continue
-            if c.source == "person":
-                parts.append(people_where(self.views, self._where([at])).select(
-                    F.lit(at).alias("cond"), "emp_id", none.alias("id"), F.lit(0).alias("months")))
-            else:
-                rows = self.views["experience"].withColumn("cond", F.lit(at))
-                parts.append(segments_where(self.views, rows, self._where([at])).select("cond", "emp_id", "id", "months"))
+        plain = {source: [at for at, c in enumerate(self.query.conditions) if not (c.off or c.seek) and c.source == source]
+                 for source in ("person", "experience")}
+        if plain["person"]:
+            parts.append(conditions_met(self.views, "person", self._where(plain["person"])).select(
+                F.explode("conds").alias("cond"), "emp_id", none.alias("id"), F.lit(0).alias("months")))
+        if plain["experience"]:
+            parts.append(conditions_met(self.views, "experience", self._where(plain["experience"])).select(
+                F.explode("conds").alias("cond"), "emp_id", "id", "months"))
         rows = reduce(DataFrame.unionByName, parts)
         least = {at: c.min_months for at, c in enumerate(self.query.conditions) if c.min_months and not c.off}
         if least:

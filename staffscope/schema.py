@@ -77,6 +77,9 @@ COMPANY = struct(name=S, group_name=S, industries=T.ArrayType(S), main_industrie
 COMPANY_ALIAS = struct(raw_name=S, company=S)
 PHRASE = struct(id=S, text=S)
 EXPERIENCE_PHRASE = struct(experience_id=S, route=S, phrase_id=S, engagement=S)
+#: Results of a standard that searches do not read yet.
+EXPERIENCE_NEXT = struct(experience_id=S, seq_inferred_l1=S, seq_inferred_l2=S, derived_identity=S, unanswered=B)
+EXPERIENCE_PHRASE_NEXT = struct(experience_id=S, route=S, phrase_id=S, engagement=S, derived_identity=S)
 TERM = struct(word=S, canonical=S, alias_sent_back=B, parent=S, excluded=B, reviewed_at=T.TimestampType())
 NEAR = T.ArrayType(struct(word=S, people=T.LongType()))
 REVIEW_WORD = struct(id=T.LongType(), guide_identity=S, word=S, people=T.LongType(), near=NEAR,
@@ -87,6 +90,7 @@ ACCOUNT_SCOPE = struct(user_id=S, org_path=S)
 STORED = {
     "employee": EMPLOYEE, "experience": EXPERIENCE, "record_stream": RECORD_STREAM, "scale": SCALE,
     "employee_record": EMPLOYEE_RECORD, "industry": INDUSTRY, "company": COMPANY, "company_alias": COMPANY_ALIAS,
-    "phrase": PHRASE, "experience_phrase": EXPERIENCE_PHRASE, "term": TERM, "review_word": REVIEW_WORD,
+    "phrase": PHRASE, "experience_phrase": EXPERIENCE_PHRASE,
+    "experience_next": EXPERIENCE_NEXT, "experience_phrase_next": EXPERIENCE_PHRASE_NEXT, "term": TERM, "review_word": REVIEW_WORD,
     "experience_verdict": EXPERIENCE_VERDICT, "account_scope": ACCOUNT_SCOPE,
 }

@@ -61,6 +61,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: the default one of the cluster where it names none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return target.getFileSystem(conf).makeQualified(target).toString()
+
+
+def made_folder(spark: SparkSession, path: str) -> str:
+    """The same, and the folder is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(qualified(spark, path))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+    return target.toString()
+
+
 def cut_lineage(df: DataFrame, even: bool = False) -> DataFrame:
     """Write `df` once as a table in the checkpoint folder and go on from there.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from staffscope.operators import terms as ops
 from staffscope.operators.graph import connected_components
+from staffscope.operators.judgments import settle
 from staffscope.operators.neighbours import nearest
 from staffscope.operators.trees import TreeError, closure, depths, validate_tree
 
@@ -126,6 +127,61 @@ def test_parts_and_followers_give_what_the_whole_table_gives(spark):
         assert placed(spark, rows, judged) == straight(rows, judged)
 
 
+def random_queue(rng, words=40, judged=12, named=20):
+    rows = []
+    for n in range(words):
+        alias = n > 12 and rng.random() < 0.5
+        head = f"w{rng.randrange(12)}" if alias else f"w{n}"
+        up = None if alias or n == 0 or rng.random() < 0.4 else f"w{rng.randrange(min(n, 12))}"
+        rows.append((f"w{n}", head, alias and rng.random() < 0.3, up, False))
+    queue = []
+    for _ in range(judged):
+        w, v = f"w{rng.randrange(named)}", rng.choice(["same", "under", "alone", "excluded", "same", "under"])
+        t = rng.choice([x for x in [f"w{n}" for n in range(named)] + ["new", "newer"] if x != w])
+        queue.append((w, v, t if v in ("same", "under") else None))
+    return rows, queue
+
+
+def full(rows):
+    """Every column, marks and times included."""
+    return sorted((r["word"], r["canonical"], r["alias_sent_back"], r["parent"], r["excluded"], str(r["reviewed_at"])) for r in rows)
+
+
+def test_rounds_give_what_one_by_one_gives(spark):
+    rng = random.Random(21)
+    for case in range(10):
+        rows, queue = random_queue(rng, named=rng.choice((6, 20, 40)))
+        times = {w: datetime(2020, 1, 1 + n % 28) for n, (w, *_) in enumerate(rows) if n % 3}
+        held = [dict(zip(ops.ROW, (w, c, sent, p, x, times.get(w)))) for w, c, sent, p, x in rows]
+        want = full(ops.place_all(held, queue, NOW))
+        terms = spark.createDataFrame([tuple(row.values()) for row in held], ops.TERM_DDL)
+        judged = spark.createDataFrame([(7 * n, *j) for n, j in enumerate(queue)], "id long, word string, verdict string, target string")
+        settled, left = settle(terms, judged, NOW, rounds=len(queue))
+        assert left.isEmpty() and full(settled.collect()) == want, (case, queue)
+        if case < 3:
+            for rounds in (0, 1, 2):
+                assert full(ops.apply_judgments(terms, judged, NOW, rounds).collect()) == want
+
+
+def test_a_queue_on_one_hub_is_a_few_rounds(spark):
+    """Most of the queue puts words under one hub or makes them the same as it, while the hub itself moves once."""
+    rows = [(w, w, False, None, False) for w in ("hub", "top", "other")] + [(f"w{n}", f"w{n}", False, None, False) for n in range(900)]
+    queue = [(f"w{n}", ("same", "under")[n % 2], "hub") for n in range(600)]
+    queue[300:300] = [("hub", "under", "top")]
+    queue += [(f"w{n}", "same", "other") for n in range(600, 900)] + [("w3", "alone", None), ("w5", "same", "w7")]
+    df = spark.createDataFrame([(n, *j) for n, j in enumerate(queue)], "id long, word string, verdict string, target string")
+    terms, left = settle(table(spark, rows), df, NOW, rounds=3)
+    assert left.isEmpty()
+    got = {r["word"]: (r["canonical"], r["parent"], r["excluded"], r["reviewed_at"] is not None) for r in terms.collect()}
+    assert got == straight(rows, queue) and got["hub"] == ("hub", "top", False, True) and got["w5"] == ("w7", None, False, True)
+
+
+def test_a_long_chain_ends_one_by_one(spark):
+    rows = [(f"c{n}", f"c{n}", False, None, False) for n in range(30)]
+    queue = [(f"c{n}", "under", f"c{n + 1}") for n in range(29)] + [(f"c{n}", "same", f"c{n + 1}") for n in range(29)]
+    assert placed(spark, rows, queue) == straight(rows, queue)
+
+
 def test_a_hub_with_thousands_of_followers(spark):
     rows = HEADS + [(f"a{n}", "a", n % 5 == 0, None, False) for n in range(3000)] + [(f"k{n}", f"k{n}", False, "a", False) for n in range(3000)]
     got = placed(spark, rows, [("a", "same", "b"), ("b", "under", "c")])
