@@ -20,9 +20,8 @@ read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage, literal_table
-from .chunks import BYTE_CHARS, Memory, pieces, vocabulary_path
+from .chunks import BYTE_CHARS, Memory, packed, pieces, slices, vocabulary_path
 from .common import whole
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Tokens of both sides, and documents, of a block; pieces a worker remembers, and the longest one worth it.
-BLOCK_TOKENS, BLOCK_DOCS, REMEMBERED, LONGEST = 1_000_000, 4096, 200_000, 64
+#: Tokens of both sides, and documents, of a block; bytes of text aligned together.
+BLOCK_TOKENS, BLOCK_DOCS, SLICE = 1_000_000, 4096, 1_000_000
+#: Pieces a worker remembers, and the longest one worth it; links of a group that are written out one by one.
+REMEMBERED, LONGEST, LINKS = 200_000, 64, 4096
 #: Distinct pairs a task adds up before it passes them on.
 GATHERED = 1 << 21
 BLOCK = ("block long, doc_ids array<long>, numbers array<long>, shas array<string>, pairs array<int>, docs array<int>, "
@@ -54,28 +55,33 @@ class Vocabularies:
     def __init__(self, a: str, b: str):
         import sentencepiece
         from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallelism
         tokenizer = Tokenizer.from_file(vocabulary_path(a))
         tokenizer.encode_special_tokens = True  # special strings in texts are text
         self.a = Memory(tokenizer, list)
         self.b = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(b))
         byte_of = {char: byte for byte, char in enumerate(BYTE_CHARS)}
         vocabulary = tokenizer.get_vocab()
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
             known = [byte_of.get(char) for char in token]
-            self.a_bytes[number] = token.encode() if None in known else bytes(known)
+            a_bytes[number] = token.encode() if None in known else bytes(known)
         names = [self.b.id_to_piece(number) for number in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(name[3:-1], 16)]) if self.b.is_byte(n) else b"" if self.b.is_control(n) or self.b.is_unknown(n)
-                        else name.replace("▁", " ").encode() for n, name in enumerate(names)]
+        b_bytes = [bytes([int(name[3:-1], 16)]) if self.b.is_byte(n) else b"" if self.b.is_control(n) or self.b.is_unknown(n)
+                   else name.replace("▁", " ").encode() for n, name in enumerate(names)]
         if any("▁" in name.lstrip("▁") or len(name) > 1 and set(name) & set(" \t\n\x0b\x0c") for name in names):
             raise ValueError(f"{b} has pieces that go on behind white space: texts cannot be cut there")
-        if len(self.a_bytes) * len(names) > 1 << 31:
+        if len(a_bytes) * len(names) > 1 << 31:
             raise ValueError("pairs of these vocabularies do not fit in 32 bits")
         of_bytes: dict[bytes, int] = {}
         for n in sorted(range(len(names)), key=lambda n: (self.b.is_byte(n), n)):
-            if self.b_bytes[n]:
-                of_bytes.setdefault(self.b_bytes[n], n)
-        self.same = [of_bytes.get(token, -1) for token in self.a_bytes]
+            if b_bytes[n]:
+                of_bytes.setdefault(b_bytes[n], n)
+        self.same = np.array([of_bytes.get(token, -1) for token in a_bytes], np.int64)
+        self.a_lengths, self.b_lengths = (np.array([len(token) for token in side], np.int64) for side in (a_bytes, b_bytes))
+        # the names of ids with what stands behind them, inside a group and at its end
+        self.a_names, self.b_names = ([np.array([f"{n}{mark}" for n in range(size)], object) for mark in marks]
+                                      for size, marks in ((len(a_bytes), ",|"), (len(b_bytes), ",;")))
 
     def ids(self, new: set[str]) -> Iterator[tuple[str, list[int], list[int]]]:
         """Ids of pieces on both sides. B puts a space before what it is given: that space is the piece's own first one,
@@ -90,74 +96,89 @@ def vocabularies(a: str, b: str) -> Vocabularies:
     return Vocabularies(a, b)
 
 
-def groups(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """Per group the index behind its last token of either side; the ends are of the same bytes."""
-    common = set(a_ends) & set(b_ends)
-    return list(zip((n for n, end in enumerate(a_ends, 1) if end in common), (n for n, end in enumerate(b_ends, 1) if end in common)))
-
-
-def _ends(ids: list[int], token_bytes: list[bytes]) -> list[int]:
-    out, end = [], 0
-    for number in ids:
-        end += len(token_bytes[number])
-        out.append(end)
-    return out
-
-
 class Pieces:
-    """A worker's memory: per piece (a slot) its numbers, its groups as text, and its pairs with how often each is linked.
-
-    A pair is one integer: `-1 - a` for a pair the map names, else `a * size of B + b`.
-    """
+    """A worker's memory of pieces: the ids of both sides as little-endian 32-bit integers."""
 
     def __init__(self, both: Vocabularies):
+        self.both, self.known = both, {}
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Per text the ids of both sides; nothing for an empty text."""
+        cuts = [_NO_RETURN.split(" " + text) if "\r" in text else pieces(" " + text) if text else [] for text in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        new = {piece for cut in cuts for piece in cut if piece not in known}
+        long = {}
+        for piece, a, b in self.both.ids(new) if new else ():
+            (known if len(piece) <= LONGEST else long)[piece] = (packed(a), packed(b))
+        found = [[long[p] if p in long else known[p] for p in cut] if long else list(map(known.__getitem__, cut)) for cut in cuts]
+        return ([b"".join([a for a, _ in one]) for one in found], [b"".join([b for _, b in one]) for one in found])
+
+
+class Aligned:
+    """Texts encoded on both sides, cut in groups: arrays over all their tokens, groups and pairs, document by document."""
+
+    def __init__(self, memory: Pieces, texts: list[str]):
+        both = memory.both
+        a, b = memory.encode(texts)
+        # the tokens give a text back if their bytes are as many: B only ever turns U+2581, three bytes, into one
+        size = [len(text.encode("utf-8", "surrogatepass")) + 1 if text else 0 for text in texts]
+        lengths = [(int(both.a_lengths[np.frombuffer(x, np.int32)].sum()), int(both.b_lengths[np.frombuffer(y, np.int32)].sum())) for x, y in zip(a, b)]
+        whole_text = [x == y == n for (x, y), n in zip(lengths, size)]
+        a, b = ([ids if fits else b"" for ids, fits in zip(side, whole_text)] for side in (a, b))
+        self.n_a, self.n_b = (np.array([len(ids) // 4 for ids in side], np.int64) for side in (a, b))
+        self.a, self.b = (np.frombuffer(b"".join(side), np.int32).astype(np.int64) for side in (a, b))
+        a_ends, b_ends = np.cumsum(both.a_lengths[self.a]), np.cumsum(both.b_lengths[self.b])
+        at = np.searchsorted(b_ends, a_ends)
+        self.a_last = b_ends[at] == a_ends if len(at) else np.zeros(0, bool)  # tokens that end a group
+        self.b_last = np.zeros(len(b_ends), bool)
+        self.b_last[at[self.a_last]] = True
+        self.a_group, self.b_group = np.cumsum(self.a_last) - self.a_last, np.cumsum(self.b_last) - self.b_last
+        self.a_stop, self.b_stop = np.flatnonzero(self.a_last) + 1, np.flatnonzero(self.b_last) + 1  # per group, behind its last token
+        self.a_size, self.b_size = np.diff(self.a_stop, prepend=0), np.diff(self.b_stop, prepend=0)
+        self.doc = np.repeat(np.arange(len(texts)), self.n_a)[self.a_stop - 1]  # of a group
+        self.n_groups = np.bincount(self.doc, minlength=len(texts))
+        self.n_links = np.zeros(len(texts), np.int64)
+        np.add.at(self.n_links, self.doc, self.a_size * self.b_size)
         self.both = both
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.numbers, self.texts = array("q"), []
-        self.pairs, self.times, self.ends = array("i"), array("q"), array("q", [0])
 
-    def add(self, piece: str, a: list[int], b: list[int]) -> None:
+    def _coded(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """A pair as one number: `-1 - a` where the map names `b`, else `a * size of B + b`."""
+        return np.where(self.both.same[x] == y, -1 - x, x * len(self.both.b_lengths) + y)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, pair, times it is linked there), each pair once per document, documents in order."""
+        links = self.a_size * self.b_size
+        one = links == 1
+        found = [(self.doc[one], self._coded(self.a[self.a_stop[one] - 1], self.b[self.b_stop[one] - 1]), np.ones(int(one.sum()), np.int64))]
+        some = np.flatnonzero((links > 1) & (links <= LINKS))
+        number = links[some]
+        group = np.repeat(some, number)
+        at = np.arange(len(group)) - np.repeat(np.cumsum(number) - number, number)
+        x = self.a[self.a_stop[group] - self.a_size[group] + at // self.b_size[group]]
+        y = self.b[self.b_stop[group] - self.b_size[group] + at % self.b_size[group]]
+        found.append((self.doc[group], self._coded(x, y), np.ones(len(group), np.int64)))
+        for group in np.flatnonzero(links > LINKS):  # by distinct ids
+            (x, n), (y, m) = (np.unique(ids[stop[group] - size[group]:stop[group]], return_counts=True)
+                              for ids, stop, size in ((self.a, self.a_stop, self.a_size), (self.b, self.b_stop, self.b_size)))
+            found.append((np.full(len(x) * len(y), self.doc[group]), self._coded(np.repeat(x, len(y)), np.tile(y, len(x))), np.outer(n, m).ravel()))
+        doc, pair, times = (np.concatenate(column) for column in zip(*found))
+        keys, back = np.unique(doc << 32 | pair & 0xFFFFFFFF, return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, back, times)
+        return keys >> 32, (keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32), total
+
+    def told(self) -> list[str]:
+        """Per document its groups as `a1,a2|b1;a3|b2`."""
         both = self.both
-        self.slots[piece] = len(self.texts)
-        data = piece.encode("utf-8", "surrogatepass")
-        if b"".join(map(both.b_bytes.__getitem__, b)) != data or b"".join(map(both.a_bytes.__getitem__, a)) != data:
-            self.numbers.extend((-1, 0, 0, 0))  # no text with this piece has tokens
-            self.texts.append("")
-            self.ends.append(len(self.pairs))
-            return
-        links, told, size, at, bt, held = 0, [], len(both.b_bytes), 0, 0, Counter()
-        cuts = groups(_ends(a, both.a_bytes), _ends(b, both.b_bytes))
-        for a_end, b_end in cuts:
-            some_a, some_b = a[at:a_end], b[bt:b_end]
-            links += len(some_a) * len(some_b)
-            told.append(f"{','.join(map(str, some_a))}|{','.join(map(str, some_b))}")
-            if len(some_a) == len(some_b) == 1:
-                x, y = some_a[0], some_b[0]
-                held[-1 - x if both.same[x] == y else x * size + y] += 1
-            else:
-                of_b = Counter(some_b)
-                for x, n in Counter(some_a).items():
-                    for y, m in of_b.items():
-                        held[-1 - x if both.same[x] == y else x * size + y] += n * m
-            at, bt = a_end, b_end
-        self.numbers.extend((len(a), len(b), len(cuts), links))
-        self.texts.append(";".join(told))
-        self.pairs.extend(held.keys())
-        self.times.extend(held.values())
-        self.ends.append(len(self.pairs))
-
-    def of(self, text: str) -> list[int]:
-        """The slots of a text's pieces, in order."""
-        cut = _NO_RETURN.split(" " + text) if "\r" in text else pieces(" " + text)
-        slots = self.slots
-        new = {piece for piece in cut if piece not in slots}
-        if new:
-            for piece, a, b in self.both.ids(new):
-                self.add(piece, a, b)
-        return list(map(slots.__getitem__, cut))
+        out = np.empty(len(self.a) + len(self.b), object)
+        b_start, a_stop = self.b_stop - self.b_size, self.a_stop
+        for last, at_a, at_b in ((False, ~self.a_last, ~self.b_last), (True, self.a_last, self.b_last)):
+            out[np.flatnonzero(at_a) + b_start[self.a_group[at_a]]] = both.a_names[last][self.a[at_a]]
+            out[np.flatnonzero(at_b) + a_stop[self.b_group[at_b]]] = both.b_names[last][self.b[at_b]]
+        ends = np.cumsum(self.n_a + self.n_b).tolist()
+        return ["".join(out[begin:end].tolist())[:-1] for begin, end in zip([0, *ends], ends)]
 
 
 def _blocks(a: str, b: str):
@@ -167,50 +188,30 @@ def _blocks(a: str, b: str):
 
         def out(part: int) -> pa.RecordBatch:
             nonlocal tokens, number
-            every = np.concatenate([*held, np.empty(0, np.int64)])
-            doc = np.repeat(np.arange(len(held)), [len(slots) for slots in held])
-            width = len(memory.texts) + 1
-            doc_slot, often = np.unique(doc * width + every, return_counts=True)
-            doc, slots = doc_slot // width, doc_slot % width
-            stored, times, ends = np.array(memory.pairs, np.int32), np.array(memory.times, np.int64), np.array(memory.ends, np.int64)
-            sizes = ends[slots + 1] - ends[slots]
-            at = np.repeat(ends[slots] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            pairs, where = np.unique(stored[at], return_inverse=True)
-            width = len(pairs) + 1
-            doc_pair, back = np.unique(np.repeat(doc, sizes) * width + where, return_inverse=True)
-            linked = np.zeros(len(doc_pair), np.int64)
-            np.add.at(linked, back, times[at] * np.repeat(often, sizes))
-            of_doc, of_pair = doc_pair // width, doc_pair % width
-            row = [(part << 32) + number, doc_ids, np.concatenate([*numbers, np.empty(0, np.int64)]), shas, pairs,
-                   np.bincount(of_pair, minlength=len(pairs)).astype(np.int32),
-                   np.searchsorted(of_doc, np.arange(len(held)), "right"), of_pair.astype(np.int32), linked]
+            doc, pair, times = (np.concatenate(column) for column in zip(*held))
+            every, where = np.unique(pair, return_inverse=True)
+            row = [(part << 32) + number, doc_ids, np.concatenate(numbers).ravel(), shas, every, np.bincount(where, minlength=len(every)).astype(np.int32),
+                   np.searchsorted(doc, np.arange(len(doc_ids)), "right"), where.astype(np.int32), times]
             made = pa.RecordBatch.from_arrays([pa.array([value], kind) for value, kind in zip(row, _BLOCK_TYPES)], _BLOCK_NAMES)
             tokens, number = 0, number + 1
             for each in (doc_ids, numbers, shas, held):
                 each.clear()
-            if len(memory.slots) > REMEMBERED or len(memory.pairs) > 8 * REMEMBERED:
-                memory.clear()
             return made
 
         part = 0
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                slots, text = np.empty(0, np.int64), text.as_py()
-                if text:
-                    slots = np.array(memory.of(text), np.int64)
-                counted = np.frombuffer(memory.numbers, np.int64).reshape(-1, 4) if len(slots) else np.empty((0, 4), np.int64)
-                mine = counted[slots]
-                del counted  # the memory grows again only when nobody looks into it
-                whole_text = len(slots) > 0 and mine[:, 0].min() >= 0
-                doc_ids.append(doc_id)
-                numbers.append(mine.sum(axis=0) if whole_text else np.zeros(4, np.int64))
-                shas.append(hashlib.sha256(";".join(map(memory.texts.__getitem__, slots.tolist())).encode()).hexdigest() if whole_text else "")
-                held.append(slots if whole_text else slots[:0])
-                tokens += int(numbers[-1][0] + numbers[-1][1])
-                if tokens >= BLOCK_TOKENS or len(held) >= BLOCK_DOCS or len(memory.slots) > 2 * REMEMBERED:
+            for some in slices(batch, "text", SLICE):
+                made = Aligned(memory, some.column("text").to_pylist())
+                doc, pair, times = made.pairs()
+                held.append((doc + len(doc_ids), pair, times))
+                doc_ids.extend(some.column("doc_id").to_pylist())
+                numbers.append(np.stack([made.n_a, made.n_b, made.n_groups, made.n_links], axis=1))
+                shas.extend(hashlib.sha256(text.encode()).hexdigest() if n else "" for text, n in zip(made.told(), made.n_a.tolist()))
+                tokens += len(made.a) + len(made.b)
+                if tokens >= BLOCK_TOKENS or len(doc_ids) >= BLOCK_DOCS:
                     yield out(part)
-        if held:
+        if doc_ids:
             yield out(part)
     return run
 
@@ -276,16 +277,16 @@ _ANSWER = {name: pa.int64() for name in ("doc_id", "n_a", "n_b", "n_groups", "n_
 def align(docs: DataFrame, a: str = A, b: str = B) -> tuple[DataFrame, DataFrame]:
     """The aligned documents in blocks, and (pair, docs): how many documents hold each pair."""
     blocks = cut_lineage(docs.select("doc_id", whole().alias("text"), F.spark_partition_id().alias("part")).mapInArrow(_blocks(a, b), BLOCK))
-    met = blocks.select("pairs", "docs").mapInArrow(_tally(len(vocabularies(a, b).a_bytes)), "pair int, docs long")
+    met = blocks.select("pairs", "docs").mapInArrow(_tally(len(vocabularies(a, b).a_lengths)), "pair int, docs long")
     return blocks, cut_lineage(met.groupBy("pair").agg(F.sum("docs").alias("docs")))
 
 
 def pair_counts(counts: DataFrame, a: str = A, b: str = B) -> DataFrame:
     """(a, b, docs): how many documents link the two ids."""
     both = vocabularies(a, b)
-    size = len(both.b_bytes)
+    size = len(both.b_lengths)
     named = F.col("pair") < 0
-    rows = [(-1 - number, other) for number, other in enumerate(both.same) if other >= 0]
+    rows = [(-1 - number, other) for number, other in enumerate(both.same.tolist()) if other >= 0]
     known = counts.join(literal_table(counts.sparkSession, rows, "pair int, same int"), "pair", "left")
     return known.select(F.when(named, -1 - F.col("pair")).otherwise(F.floor(F.col("pair") / size)).cast("int").alias("a"),
                         F.when(named, F.col("same")).otherwise(F.col("pair") % size).cast("int").alias("b"), "docs")
@@ -295,7 +296,7 @@ def alignments(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row."""
     both = vocabularies(a, b)
     blocks, counts = align(docs, a, b)
-    size_a, size_b = len(both.a_bytes), len(both.b_bytes)
+    size_a, size_b = len(both.a_lengths), len(both.b_lengths)
     best, named = np.zeros(size_a, np.int64), np.zeros(size_a, np.int64)
     own = F.when(F.col("pair") < 0, -1 - F.col("pair")).otherwise(F.floor(F.col("pair") / size_b)).cast("int")
     for row in counts.groupBy(own.alias("a")).agg(F.max("docs").alias("best"), F.max(F.when(F.col("pair") < 0, F.col("docs"))).alias("named")).collect():

@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .chunks import BYTE_CHARS, Memory, packed, vocabulary_path
-from .common import whole
+from .chunks import BYTE_CHARS, Memory, packed, slices, vocabulary_path
+from .common import boxed, whole
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Bytes of text that are encoded and passed on together.
+SLICE = 2_000_000
 
 
 @lru_cache(maxsize=None)
@@ -112,30 +114,31 @@ def decode(ids: Column, ranks: str = RANKS) -> Column:
 
 def encoded(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(doc_id, source, n_tokens, ids_sha256, decoded_sha256, ids) of each row, the round trip checked on the way: a text
-    that its ids don't give back raises."""
-    @F.arrow_udf("ids array<int>, ids_sha256 string, decoded_sha256 string")
-    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    that its ids don't give back raises. Rows go out by `SLICE` bytes of text, so memory does not grow with a batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, table = rank_memory(ranks), byte_table(ranks)
-        for batch in texts:
-            texts_of, rows, shas = [t or "" for t in batch.to_pylist()], [], []
-            for text, kept in zip(texts_of, memory.encode(texts_of)):
-                rows.append(b"".join(kept))
-                ids = np.frombuffer(rows[-1], np.int32)
-                if table.decode(ids) != text.encode():
-                    raise ValueError("the ids of a text do not give it back")
-                shas.append(_digest(ids, table)[1:3])
-            ends = np.concatenate([[0], np.cumsum([len(row) // 4 for row in rows], dtype=np.int64)])
-            yield pa.StructArray.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32))),
-                 pa.array([a for a, _ in shas], pa.string()), pa.array([b for _, b in shas], pa.string())],
-                ["ids", "ids_sha256", "decoded_sha256"])
-    made = docs.select("doc_id", "source", of(whole()).alias("bpe"))
-    return made.select("doc_id", "source", F.size("bpe.ids").cast("long").alias("n_tokens"), "bpe.ids_sha256", "bpe.decoded_sha256", "bpe.ids")
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                texts, rows, digests = [t or "" for t in part.column("text").to_pylist()], [], []
+                for text, kept in zip(texts, memory.encode(texts)):
+                    ids = np.frombuffer(b"".join(kept), np.int32)
+                    if table.decode(ids) != text.encode():
+                        raise ValueError("the ids of a text do not give it back")
+                    rows.append(ids)
+                    digests.append(_digest(ids, table)[1:3])
+                ends = np.cumsum([0, *map(len, rows)], dtype=np.int64).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("source"), pa.array(np.diff(ends).astype(np.int64)), pa.array([a for a, _ in digests], pa.string()),
+                     pa.array([b for _, b in digests], pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))],
+                    ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+    kinds = {name: docs.schema[name].dataType.simpleString() for name in ("doc_id", "source")}
+    return docs.select("doc_id", "source", whole().alias("text")).mapInArrow(
+        run, f"doc_id {kinds['doc_id']}, source {kinds['source']}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
 
 
 def encode_with_offsets(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """The rows of `docs` with a struct column `bpe`: ids, begins and ends (character offsets into the text). An older
-    column of that name is replaced."""
+    """(doc, bpe): the rows of `docs`, each as a struct, and a struct of ids, begins and ends (character offsets into the
+    text)."""
     @F.arrow_udf("ids array<int>, begins array<int>, ends array<int>")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory, table = rank_memory(ranks), byte_table(ranks)
@@ -147,7 +150,7 @@ def encode_with_offsets(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
                 begins, ends = table.offsets(ids, text.encode()) if len(ids) else (ids, ids)
                 rows.append({"ids": ids, "begins": begins.astype(np.int32), "ends": ends.astype(np.int32)})
             yield pa.array(rows, pa.struct({name: pa.list_(pa.int32()) for name in ("ids", "begins", "ends")}))
-    return docs.withColumn("bpe", of(whole()))
+    return boxed(docs, bpe=of(whole()))
 
 
 def round_trip(docs: DataFrame, ranks: str = RANKS) -> DataFrame:

@@ -11,11 +11,13 @@ inside a role or a text get a backslash after their first character, a backslash
 is exact and unescaping gives the text back.
 
 Only DataFrame functions are used. Scale: a turn is moved with its block and, as history, with the few it can be repeated in; a block
-holds a bounded number of tokens, so no task gathers a conversation to format it, however long it is. Running sums are
+holds a bounded number of tokens and so of turns, so no task gathers a conversation to format it, however long it is. Running sums are
 made in two steps, inside and over pieces of a conversation. Only reading back for the digests of whole conversations
 needs their texts together, as any digest of a whole does.
 
-A window exceeds the budget only where a turn, or the system turn it starts with, is too long for it: turns are never cut.
+Tokens are those counted by the caller's tokenizer (`counts`) or, as none runs here, one a byte, the most that any
+byte-level tokenizer makes of a text: a window that is not `over_budget` fits. A window exceeds the budget only where a
+turn, or the system turn it starts with, is too long for it: turns are never cut.
 
 Cases: null text and null role are empty; turns with equal numbers stand in the order of role and text; a null number
 comes first; rows with a null `conv_id` are one conversation; a conversation of a system turn only is one window;
@@ -29,7 +31,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut_lineage
 from .common import whole
 
-#: Tokens of a window, of a block where the system turn fills the budget, kept free for history, and what the marks of a turn cost.
+#: Tokens of a window, of a block where the system turn fills the budget, kept free for history, and of the marks of a turn
+#: (two control tokens and two line feeds).
 BUDGET, BLOCK, HISTORY, MARKS = 2048, 512, 256, 4
 #: Consecutive turn numbers whose running sums are made together.
 PIECE = 64
@@ -50,15 +53,21 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def tokens(text: Column) -> Column:
-    """An upper estimate for budgets: a token per four bytes, and the marks."""
-    return F.ceil(F.octet_length(text) / 4).cast("long") + MARKS
+def tokens(role: Column, text: Column, counted: Column | None = None) -> Column:
+    """What a turn costs at most: a token per byte of what is written, which no byte-level tokenizer exceeds, or what was
+    counted for its text if nothing in it is escaped; and the marks."""
+    written = F.octet_length(escaped(text))
+    if counted is not None:
+        written = F.when(written == F.octet_length(text), F.coalesce(counted, written)).otherwise(written)
+    return (written + F.octet_length(escaped(role)) + MARKS).cast("long")
 
 
-def turns(conversations: DataFrame) -> DataFrame:
+def turns(conversations: DataFrame, counts: str | None = None) -> DataFrame:
     """One row per turn: `at` from 1, `start`, the tokens before it, and `is_system`."""
-    rows = conversations.select("conv_id", "turn", whole("role").alias("role"), whole().alias("text"))
-    rows = rows.withColumn("piece", F.floor(F.col("turn") / PIECE)).withColumn("n_tokens", tokens(F.col("text")))
+    counted = F.lit(None).cast("long") if counts is None else F.col(f"`{counts}`").cast("long")
+    rows = conversations.select("conv_id", "turn", whole("role").alias("role"), whole().alias("text"), counted.alias("counted"))
+    rows = rows.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / PIECE).alias("piece"),
+                       tokens(F.col("role"), F.col("text"), F.col("counted")).alias("n_tokens"))
     piece = ["conv_id", "piece"]
     inside = Window.partitionBy(*piece).orderBy("turn", "role", "text")
     so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -74,13 +83,13 @@ def turns(conversations: DataFrame) -> DataFrame:
                          ((at == 1) & (F.col("role") == "system")).alias("is_system"))
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, block: int = BLOCK, history: int = HISTORY) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = BUDGET, block: int = BLOCK, history: int = HISTORY, counts: str | None = None) -> DataFrame:
     """(conv_id, first_at, n_repeated, n_tokens, over_budget, formatted, loss): a row per window in the order of
     `first_at`. `loss` lists (begin, length) in characters of `formatted`; the first `n_repeated` turns stand in
-    earlier windows too."""
+    earlier windows too. `counts` names a column with the number of tokens of each text."""
     if history > block:
         raise ValueError("history may not be longer than a block")
-    every = cut_lineage(turns(conversations))
+    every = cut_lineage(turns(conversations, counts))
     first = every.filter("is_system").select(F.col("conv_id").alias("_conv"), F.struct("at", "role", "text", "n_tokens").alias("system"))
     # what a conversation has beside its system turn, and how much of it a block may hold: all if all fits, else room for history stays
     held_by = F.coalesce(F.max(F.when(F.col("is_system"), F.col("n_tokens"))), F.lit(0).cast("long"))

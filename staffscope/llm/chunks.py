@@ -15,6 +15,9 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+
 #: Pieces a worker remembers, and the longest piece worth remembering; beyond them pieces are encoded again.
 REMEMBERED, LONGEST = 500_000, 64
 #: Characters of text cut together.
@@ -42,6 +45,11 @@ def words(text: str) -> list[str]:
     return text.split()
 
 
+def lower_words(text: str) -> list[str]:
+    """`words` for tokenizers that make letters small themselves; done here for ASCII, fewer words are different."""
+    return words(text.lower() if text.isascii() else text)
+
+
 @lru_cache(maxsize=None)
 def library_tokenizer(name: str):
     """A tokenizer of the tokenizers library by its file name among the public tokenizers, or by a path."""
@@ -94,14 +102,13 @@ class Memory:
     """Encodes texts piece by piece; `keep` turns the ids of a piece into what is stored for it, values that add up.
 
     Marks after a word are a match of their own under the pre-tokenizers in use, so an unknown `word,` is put together
-    from `word` and `,`; only what is still unknown goes to the library, many pieces in one call.
+    from `word` and `,`, which are pieces like others; only what is still unknown goes to the library.
     """
 
     def __init__(self, tokenizer, keep: Callable[[list[int]], object], cut: Callable[[str], list[str]] = pieces,
                  letters: Callable[[str], str] = spaced_letters):
         self._tokenizer, self._keep, self._cut, self._letters = tokenizer, keep, cut, letters
         self._known: dict[str, object] = {}
-        self._stems: dict[str, object] = {}
 
     def encode(self, texts: list[str]) -> Iterator[list]:
         """Per text what is kept of each of its pieces, in order. Texts are taken together up to `AT_ONCE` characters."""
@@ -116,49 +123,49 @@ class Memory:
 
     def _together(self, texts: list[str]) -> Iterator[list]:
         cuts = [self._cut(text) for text in texts]
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        if len(self._stems) > REMEMBERED:
-            self._stems.clear()
-        known = self._known
-        new = {piece for cut in cuts for piece in cut if piece not in known}
-        made = self._encode_new(new)
-        known.update((piece, kept) for piece, kept in made.items() if len(piece) <= LONGEST)
-        long = {piece: kept for piece, kept in made.items() if len(piece) > LONGEST}
+        known = self.encode_pieces(set().union(*cuts))
         for cut in cuts:
-            yield [long[p] if p in long else known[p] for p in cut] if long else list(map(known.__getitem__, cut))
-
-    def encode_pieces(self, new: set[str]) -> dict[str, object]:
-        """What is kept of each of these pieces, for callers with a memory of their own."""
-        if len(self._stems) > REMEMBERED:
-            self._stems.clear()
-        return self._encode_new(new)
+            yield list(map(known.__getitem__, cut))
 
-    def _encode_new(self, new: set[str]) -> dict[str, object]:
-        parts = {}
+    def encode_pieces(self, wanted: set[str]) -> dict[str, object]:
+        """A dictionary that has what is kept of each of these pieces, until the next call."""
+        known = self._known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for piece in self._passing:
+            known.pop(piece, None)
+        self._passing = self._learn(wanted.difference(known))
+        return known
+
+    #: Pieces too long to be remembered beyond a call.
+    _passing: list[str] = []
+
+    def _learn(self, new: set[str]) -> list[str]:
+        known, tokenize, letters, keep = self._known, self._tokenizer.model.tokenize, self._letters, self._keep
+        split, plain = [], set()
         for piece in new:
             stem = piece.rstrip(_MARKS)
-            if stem and len(stem) < len(piece) and stem[-1].isalpha() and stem[-1].lower()[-1].isalpha():
-                parts[piece] = (stem, piece[len(stem):])
+            if len(stem) < len(piece) and stem and stem[-1].isalpha() and stem[-1].lower()[-1].isalpha():
+                tail = piece[len(stem):]
+                split.append((piece, stem, tail))
+                if stem not in known:
+                    plain.add(stem)
+                if tail not in known:
+                    plain.add(tail)
             else:
-                parts[piece] = (piece,)
-        stems = self._stems
-        fresh, whole = {}, []
-        tokenize, letters, keep = self._tokenizer.model.tokenize, self._letters, self._keep
-        for part in {part for split in parts.values() for part in split if part not in stems}:
-            mapped = letters(part)
+                plain.add(piece)
+        whole = []
+        for piece in plain:
+            mapped = letters(piece)
             if mapped:
-                fresh[part] = keep([token.id for token in tokenize(mapped)])
+                known[piece] = keep([token.id for token in tokenize(mapped)])
             else:
-                whole.append(part)
+                whole.append(piece)
         codes = self._tokenizer.encode_batch_fast(whole, add_special_tokens=False)
-        fresh.update((part, keep(code.ids)) for part, code in zip(whole, codes))
-        out = {}
-        for piece, split in parts.items():
-            kept = [fresh[part] if part in fresh else stems[part] for part in split]
-            out[piece] = kept[0] if len(kept) == 1 else kept[0] + kept[1]
-        stems.update((part, kept) for part, kept in fresh.items() if len(part) <= LONGEST)
-        return out
+        known.update((piece, keep(code.ids)) for piece, code in zip(whole, codes))
+        for piece, stem, tail in split:
+            known[piece] = known[stem] + known[tail]
+        return [piece for piece in plain if len(piece) > LONGEST] + [piece for piece, _, _ in split if len(piece) > LONGEST]
 
 
 @lru_cache(maxsize=None)
@@ -170,7 +177,21 @@ def counting_memory(name: str) -> Memory:
 @lru_cache(maxsize=None)
 def lower_word_memory(name: str) -> Memory:
     """The worker's memory of ids, as little-endian unsigned 32-bit integers, of a tokenizer that drops white space."""
-    return Memory(library_tokenizer(name), packed, words, lower_letters)
+    return Memory(library_tokenizer(name), packed, lower_words, lower_letters)
+
+
+def slices(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `size` bytes of a text column; a row that is longer is a part of its own."""
+    import pyarrow.compute as pc
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        until = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(at, until - at)
+        at = until
 
 
 def packed(ids: list[int]) -> bytes:

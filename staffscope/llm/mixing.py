@@ -8,8 +8,9 @@ share, and a bounded-knapsack dynamic programme over the lengths closes the rema
 taken is decided by a seeded hash.
 
 Scale: the texts are read once, for their sizes; what travels is narrow. The histogram is combined on the map side and
-has a row per source and length, not per document: a source holding a third of the corpus is one histogram like the
-others, bounded by its longest document. Documents of one length are ranked without putting them in one task
+has a row per source and length, not per document: a source holding a third of the corpus, or all of it, is one
+histogram like the others, with as many rows as lengths up to its longest document. One row per source meets in one
+place for the targets. Documents of one length are ranked without putting them in one task
 (`numbered`: ranges, then offsets).
 
 Cases: null and blank texts have size 0, take 0 words and are never repeated; null sources are one source, the last; an
@@ -19,7 +20,9 @@ empty table gives an empty result; equal rows are ranked apart; other columns pa
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -63,8 +66,9 @@ def fit_subset(lengths: Sequence[int], counts: Sequence[int], budget: int) -> li
     """How many documents of each length make up `budget` best (exactly where that is possible from what is left).
 
     Every length gives the proportional share, rounded down. Larger lengths then close the gap as far as they fit, and
-    what is left, less than the longest document, is a bounded knapsack: sums are bits of an integer, counts are split
-    in powers of two, and the smallest numbers that reach the nearest sum are read back.
+    what is left, less than two of the longest document, is a bounded knapsack: sums are bits of an integer, counts are
+    split in powers of two, and of every sum the step that first reached it is kept, so the numbers are read back from
+    the nearest one. That is four bytes a word of the longest document, some three times, whatever the number of lengths.
     """
     total = sum(length * count for length, count in zip(lengths, counts))
     if budget >= total:
@@ -78,26 +82,34 @@ def fit_subset(lengths: Sequence[int], counts: Sequence[int], budget: int) -> li
         take[at] += more
         left -= more * lengths[at]
     spare = [(at, counts[at] - take[at]) for at in reversed(order) if counts[at] > take[at]]
-    top = left + max((lengths[at] for at, _ in spare), default=0)
+    if not spare or not left:
+        return take
+    unit = gcd(*(lengths[at] for at, _ in spare))  # no sum is between multiples of it
+    exact, over = divmod(left, unit)
+    wanted = exact if 2 * over <= unit else exact + 1
+    top = exact + 1 + max(lengths[at] for at, _ in spare) // unit
     mask, reach, steps = (1 << top + 1) - 1, 1, []
+    made_by = np.zeros(top + 1, np.int32)  # the step that first reached a sum; what it added to was reached before
     for at, free in spare:
-        if reach >> left & 1:
-            break
-        chunk = 1
-        while free:
-            part = min(chunk, free, max(1, top // lengths[at] + 1))
-            steps.append((at, part, reach))
-            reach |= reach << lengths[at] * part & mask
+        length, chunk = lengths[at] // unit, 1
+        while free and not reach >> wanted & 1:
+            part = min(chunk, free, max(1, top // length + 1))
+            steps.append((at, part))
+            new = reach << length * part & mask & ~reach
+            if new:
+                bits = np.frombuffer(new.to_bytes((top >> 3) + 1, "little"), np.uint8)
+                made_by[np.flatnonzero(np.unpackbits(bits, count=top + 1, bitorder="little"))] = len(steps)
+                reach |= new
             free = free - part if part == chunk else 0
             chunk *= 2
-    below = (reach & (1 << left + 1) - 1).bit_length() - 1
-    above = reach >> left
-    above = left + (above & -above).bit_length() - 1 if above else None
-    goal = above if above is not None and above - left < left - below else below
-    for at, part, before in reversed(steps):
-        if not before >> goal & 1:
-            goal -= lengths[at] * part
-            take[at] += part
+    below = (reach & (1 << exact + 1) - 1).bit_length() - 1
+    above = reach >> exact + 1
+    above = exact + (above & -above).bit_length() if above else None
+    goal = above if above is not None and above * unit - left < left - below * unit else below
+    while goal:
+        at, part = steps[made_by[goal] - 1]
+        take[at] += part
+        goal -= lengths[at] // unit * part
     return take
 
 

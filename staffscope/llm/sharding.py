@@ -7,11 +7,12 @@ few slots from shards above the mean to shards below it, a new and empty shard a
 Only DataFrame functions are used. Scale: the slot is a function of the record, sums are combined on the map side, and
 everything about the map works on one row per slot (`SLOTS`, whatever the corpus). Positions inside a shard are counted
 per slot and shifted by the slots before, so no task sees more than a slot; records of one id or one text spread over
-the slots by the hash of both.
+the slots by the hash of both, and equal rows, however many, a few to a slot.
 
-The law that holds is `bytes`: shards differ by less than their heaviest slot.
+The law that holds is `bytes`: shards differ by less than their heaviest slot. Equal texts, and equal rows, may stand in
+different shards.
 
-Cases: null text has no bytes and size 1; equal rows share a slot and stand next to each other; a null `doc_id` is
+Cases: null text has no bytes and size 1; `TOGETHER` equal rows share a slot, more of them take others; a null `doc_id` is
 hashed like any value; an empty table gives an empty result and a map of empty slots; other columns are not read. A
 shard may stay empty if there are fewer occupied slots than shards.
 """
@@ -20,10 +21,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.numbering import numbered
 from ..session import cut_lineage
 from .common import whole
 
 SLOTS, SHARDS = 4096, 8
+#: Equal rows that stay in one slot.
+TOGETHER = 16
 
 
 def virtual_slot(*parts: Column, slots: int = SLOTS) -> Column:
@@ -96,10 +100,21 @@ class ShardMap:
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot) of each row."""
+    """(doc_id, size, text_crc32, virtual_slot) of each row, written once.
+
+    A record that is there more than `TOGETHER` times is counted through, and every so many of its rows go to another slot.
+    """
     text = whole()
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-                       virtual_slot(F.col("doc_id"), text, slots=slots).alias("virtual_slot"))
+    rows = cut_lineage(docs.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64("doc_id", text).alias("key"), F.monotonically_increasing_id().alias("row")))
+    often = cut_lineage(rows.groupBy("key").count().filter(F.col("count") > TOGETHER).select("key"))
+    many = numbered(rows.join(often, "key", "left_semi"), [F.col("row")], by=["key"], name="number")
+    part = F.floor((F.col("number") - 1) / TOGETHER)
+    spread = F.when(part == 0, F.pmod("key", F.lit(slots)).cast("int")).otherwise(virtual_slot(F.col("key"), part, slots=slots))
+    once = rows.join(often, "key", "left_anti").withColumn("virtual_slot", F.pmod("key", F.lit(slots)).cast("int"))
+    names = ["doc_id", "size", "text_crc32", "virtual_slot"]
+    return cut_lineage(once.select(names).unionByName(many.withColumn("virtual_slot", spread).select(names)))
 
 
 def placed(rows: DataFrame, shard_map: DataFrame) -> DataFrame:
@@ -115,7 +130,7 @@ def placed(rows: DataFrame, shard_map: DataFrame) -> DataFrame:
 def shard(docs: DataFrame, folder: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot) of each row under version 1 of a new map,
     which is stored in `folder`. `grown_shard` is null under the law of bytes."""
-    rows = cut_lineage(records(docs, slots))
+    rows = records(docs, slots)
     held = ShardMap(docs.sparkSession, folder).write(first_map(slot_bytes(rows, slots), shards), 1)
     return placed(rows, held).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                                      F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

@@ -3,8 +3,9 @@
 A fingerprint is 64 bits from the XXH64 of all word shingles. Fingerprints that differ in at most 3 bits differ in at
 most 3 of their 8 bytes, so a pair has to share at least 5 positional bytes: that is the guaranteed minimum of the
 count filter. Lists of single bytes would hold 1/256 of all fingerprints each and be read pairwise, so the index keeps
-them intersected: a posting list per set of 5 positions and their 5 bytes (56 sets), in which every pair has a tally of
-5 or more by construction and every pair of the required tally occurs. What is left, 3 bytes, is verified by bits.
+them intersected: a posting list per set of 5 positions and their 5 bytes (56 sets), in which every pair of the required
+tally occurs. In a list, the positional bytes each pair shares are tallied, pairs that reach the minimum are retained, and
+those are verified by their bits.
 
 Scale: texts are read once and never shuffled; equal fingerprints are one entry before the index, so a group of copies
 of any size is one row. A posting list can hold at most 2**24 fingerprints, whatever the corpus; a list is not paired
@@ -137,10 +138,23 @@ class _Forest:
             self._link(one, other)
 
 
+def _tally(differ: int) -> int:
+    """Positional bytes that two fingerprints share, by the bits in which they differ."""
+    return sum(not differ >> at & 0xFF for at in range(0, 64, 8))
+
+
+def _near(differ: np.ndarray) -> np.ndarray:
+    """Which candidates are near: those whose tally of shared positional bytes reaches the minimum are verified by bits."""
+    near = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1, dtype=np.int8) >= SHARED
+    near[near] = np.bitwise_count(differ[near]) <= BITS
+    return near
+
+
 def _pairwise(fps: np.ndarray) -> Iterator[tuple[int, int]]:
     """Links that connect what is near in a list: each fingerprint is compared once with those not reached so far."""
     if len(fps) == 2:
-        if int(np.bitwise_count(fps.view(np.uint64)[0] ^ fps.view(np.uint64)[1])) <= BITS:
+        one, other = fps.view(np.uint64).tolist()
+        if _tally(one ^ other) >= SHARED and (one ^ other).bit_count() <= BITS:
             yield int(fps[0]), int(fps[1])
         return
     apart = fps.view(np.uint64)
@@ -148,7 +162,7 @@ def _pairwise(fps: np.ndarray) -> Iterator[tuple[int, int]]:
         reached, apart = [apart[0]], apart[1:]
         while reached and len(apart):
             one = reached.pop()
-            near = np.bitwise_count(apart ^ one) <= BITS
+            near = _near(apart ^ one)
             if near.any():
                 found = apart[near]
                 apart = apart[~near]

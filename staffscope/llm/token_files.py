@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir, cut_lineage, qualified
 from . import wavelet
 from .chunks import lower_word_memory, packed
 from .common import whole
@@ -38,7 +38,7 @@ def write_files(docs: DataFrame, folder: str | None = None, tokenizer: str = "wo
                 file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes the files and gives their manifest with `start`, the number of tokens in all files before."""
     spark = docs.sparkSession
-    folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    folder = qualified(spark, folder or f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = whole()
     placed = (docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_same"))
@@ -64,7 +64,7 @@ def open_file(path: str) -> wavelet.WaveletFile:
 
 
 def _writer(folder: str, tokenizer: str, end: int, file_tokens: int):
-    base = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    base = folder if "://" in folder else "file://" + folder.removeprefix("file:")  # Spark writes file:/path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(base)

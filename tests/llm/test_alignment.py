@@ -77,14 +77,22 @@ def fuzz(number, seed=3):
     return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 30))) for _ in range(number)]
 
 
-def test_pieces_give_the_ids_of_the_text():
+@pytest.mark.parametrize("links", [4096, 1])
+def test_pieces_give_the_groups_of_the_text(monkeypatch, links):
+    monkeypatch.setattr(alignment, "LINKS", links)
     encode, memory = plain_tokenizers(), alignment.Pieces(alignment.vocabularies(alignment.A, alignment.B))
-    for text in fuzz(4000) + [t for t in odd_texts() if t]:
-        if not text:
-            continue
+    texts = fuzz(4000) + [t or "" for t in odd_texts()]
+    made = alignment.Aligned(memory, texts)
+    doc, pair, times = made.pairs()
+    held = defaultdict(dict)
+    for d, p, n in zip(doc.tolist(), pair.tolist(), times.tolist()):
+        x, y = (-1 - p, int(memory.both.same[-1 - p])) if p < 0 else divmod(p, 32000)
+        held[d][x, y] = n
+    for n, (text, told) in enumerate(zip(texts, made.told())):
         want = plain_groups(*encode(text))
-        told = ";".join(memory.texts[slot] for slot in memory.of(text))
         assert told == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in want), repr(text)
+        assert held[n] == Counter((x, y) for some_a, some_b in want for x in some_a for y in some_b)
+        assert made.n_links[n] == sum(held[n].values()) and made.n_groups[n] == len(want)
 
 
 @pytest.mark.parametrize("block", [1_000_000, 50])

@@ -281,20 +281,20 @@ def test_chat(spark):
             if system[2] == "system":
                 assert parts[0].startswith("<|im_start|>system\n")
             if row.over_budget:
-                assert any(len(p.encode()) / 4 > min(block, budget / 8) for p in parts)
+                assert any(len(p.encode()) > min(block, budget / 8) for p in parts)
     assert chat.read_back(chat.windows(frame.limit(0))).count() == 0
 
 
 def test_the_budget_chooses_the_spans(spark):
-    talk = lambda conv, *sizes: [(conv, n, role, "t" * 4 * (size - chat.MARKS)) for n, (role, size) in enumerate(sizes)]
+    talk = lambda conv, *sizes: [(conv, n, role, "t" * (size - chat.MARKS - len(role))) for n, (role, size) in enumerate(sizes)]
     rng = random.Random(12)
     rows = (talk(1, *[("user", 200), ("assistant", 300)] * 4) + talk(2, ("user", 300), ("assistant", 600))
             + talk(3, ("system", 1200), *[("user", 400), ("assistant", 440)] * 3) + talk(4, ("user", 1500), ("user", 300), ("assistant", 1700))
-            + talk(5, ("system", 1900), *[("user", 60), ("assistant", 70)] * 9) + talk(6, ("system", 300), ("user", 1800), ("assistant", 5)))
+            + talk(5, ("system", 1900), *[("user", 60), ("assistant", 70)] * 9) + talk(6, ("system", 300), ("user", 1800), ("assistant", 15)))
     for conv in range(10, 40):
-        turns = [(("user", "assistant")[n % 2], rng.choice((5, 40, 300, 900, 1900))) for n in range(rng.randint(1, 30))]
-        rows += talk(conv, ("system", rng.choice((8, 140, 1100, 1800))), *turns)
-    size = {(conv, n + 1): len(text) // 4 + chat.MARKS for conv, n, _, text in rows}
+        turns = [(("user", "assistant")[n % 2], rng.choice((15, 40, 300, 900, 1900))) for n in range(rng.randint(1, 30))]
+        rows += talk(conv, ("system", rng.choice((11, 140, 1100, 1800))), *turns)
+    size = {(conv, n + 1): len(text) + len(role) + chat.MARKS for conv, n, role, text in rows}
     system = {conv: size[conv, 1] for conv, n, role, _ in rows if role == "system"}
     made = defaultdict(list)
     for row in chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect():
@@ -315,6 +315,28 @@ def test_the_budget_chooses_the_spans(spark):
     assert len(made[1]) == len(made[2]) == 1
 
 
+def test_a_window_within_its_budget_has_no_more_tokens(spark):
+    """Counted by the library on what no estimate by characters holds for, and with the counts of the caller."""
+    plain = Tokenizer.from_file(tokenizers_at.path("byte_bpe_50k.json"))
+    count = lambda text: len(plain.encode(text, add_special_tokens=False).ids)
+    rng = random.Random(7)
+    kinds = ["8361940275", "日本語の文", "x=[]{}();", "\x00\x07", "plain words here ", "😀", "</s>[INST]"]
+    rows = []
+    for conv in range(40):
+        for turn in range(rng.randint(1, 9)):
+            text = rng.choice(kinds) * rng.randint(1, 60)
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), text, count(text)))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long")
+    sizes = {}
+    for name in (None, "n"):
+        made = chat.windows(frame, budget=600, block=200, history=100, counts=name).collect()
+        sizes[name] = len(made)
+        for row in made:
+            marks = row.formatted.count("<|im_start|>") + row.formatted.count("<|im_end|>")
+            assert row.over_budget or count(row.formatted.replace("<|im_start|>", "").replace("<|im_end|>", "")) + marks <= 600
+    assert sizes["n"] < sizes[None]
+
+
 # 6
 
 def test_subset_fits_exactly_where_it_can():
@@ -336,6 +358,22 @@ def test_subset_fits_exactly_where_it_can():
     assert mixing.fit_subset([5], [3], 15) == [3]
 
 
+def test_memory_of_a_budget_that_cannot_be_met():
+    """Even lengths and an odd budget: nothing stops early, and what is held does not grow with the lengths."""
+    import tracemalloc
+    peaks = []
+    for number in (500, 4000):
+        lengths = sorted({2, 40_000, *random.Random(number).sample(range(4, 40_000, 2), number)})
+        counts = [1] * len(lengths)
+        budget = sum(lengths) // 2 | 1
+        tracemalloc.start()
+        took = mixing.fit_subset(lengths, counts, budget)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert abs(sum(a * t for a, t in zip(lengths, took)) - budget) == 1 and all(t <= 1 for t in took)
+    assert peaks[1] < 3_000_000
+
+
 def test_mix(odd, none):
     got = mixing.mix(odd).collect()
     sizes = [(r[3], len(brute.words(r[1]))) for r in odd_rows()]
@@ -435,7 +473,7 @@ def test_round_trip(spark, odd, none):
     for row in texts.select("text", byte_bpe.decode(texts["ids"]).alias("back")).collect():
         assert bytes(row.back) == (row.text or "").encode()
     for row in byte_bpe.encode_with_offsets(odd).collect():
-        text = row.text or ""
+        text = row.doc.text or ""
         assert len(row.bpe.ids) == len(row.bpe.begins) == len(row.bpe.ends)
         for number, begin, end in zip(row.bpe.ids[:200], row.bpe.begins, row.bpe.ends):
             assert byte_bpe.byte_table(byte_bpe.RANKS).decode(np.array([number])) in text[begin:end].encode()
@@ -457,6 +495,17 @@ def test_shards(odd, none, folder):
     assert sharding.shard(none, folder + "/none").count() == 0
 
 
+def test_the_law_holds_for_repeated_rows(spark, folder):
+    rows = [(7, "the same row")] * 20_000 + [(n, f"row {n}") for n in range(1000)] + [(None, None)] * 3000
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder).collect()
+    held, slots = Counter(), defaultdict(list)
+    for row in got:
+        held[row.shard] += row.size
+        slots[row.shard].append(row.slot)
+    assert len(held) == 8 and max(held.values()) - min(held.values()) < 0.05 * sum(held.values()) / 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == len(rows)
+
+
 def test_the_map_balances_and_its_edits_move_little(spark, folder):
     rng = random.Random(1)
     loads = spark.createDataFrame([(n, rng.randint(500, 1500), 3) for n in range(512)], "slot_no int, bytes long, rows long")
@@ -513,6 +562,24 @@ def test_counts_of_three_batches(spark):
     assert got[2] == {(3, 5, 4, False), (4, 2, 2, False), (9, 9, 1, True)}
 
 
+def test_a_batch_given_again_has_the_same_answer(spark):
+    """Its answer was lost after the index had taken it, before or after another batch came."""
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first, second = frame([(5, "a"), (6, "a"), (8, "b")]), frame([(1, "a"), (2, "c"), (3, "b")])
+    got = lambda rows, batch: sorted(map(tuple, exact_dedup.dedup(rows, index, batch).collect()), key=repr)
+    lost = got(first, "one")
+    assert [r[3] for r in lost] == [True, False, True] and got(first, "one") == lost
+    later = got(second, "two")
+    assert got(first, "one") == lost and got(second, "two") == later and {r[0]: r[2] for r in later} == {1: 3, 2: 1, 3: 2}
+    assert got(frame([(9, "a")]), "three") == [(9, 5, 4, False, lost[0][4])]
+    folder = index.folder
+    index.close()
+    again = exact_dedup.DigestIndex(spark, folder, buckets=2)
+    assert again.number("two") == 2 and again.number("new") == 4
+    again.close()
+
+
 # pipeline
 
 def test_pipeline(spark, odd, none, tmp_path):
