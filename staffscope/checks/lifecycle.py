@@ -481,6 +481,20 @@ def derive_stream(spark, sf):
     return spark.read.parquet(f"{folder}/edges").select("experience_id", "route", "phrase_id", "engagement")
 
 
+@check("derive_state_stream", "select experience_id, route, phrase_id, engagement from {o_edge}")
+def derive_state_stream(spark, sf):
+    """Every segment arrives twice; the stream's own state leaves out the second, nothing stored is read again."""
+    folder, segments = _folder(spark, "derive"), base.tables(spark, sf)["experience"]
+    needed = segments.select("id", "kind", "unemployed", "title", "seq_l1", "seq_l2", "seq_l3", "description")
+    for _ in range(2):
+        needed.repartition(2).write.mode("append").parquet(f"{folder}/in")
+    with _state_store(spark):
+        arriving = jobs.unseen(spark.readStream.schema(needed.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in"), ["id"])
+        run = jobs.derive_batch(base.extractions(spark, sf), f"{folder}/edges", f"{folder}/phrases", known="state")
+        _to_the_end(arriving.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/state"))
+    return spark.read.parquet(f"{folder}/edges").select("experience_id", "route", "phrase_id", "engagement")
+
+
 @check("lease_stream", """
 select cast(user_id as varchar) as attempt, case when bool_or(event_type = 'error') then 'done' else 'expired' end as status, epoch_us(max(ts)) // 1000 as at_ms from events group by user_id
 having bool_or(event_type = 'error') or max(ts) + interval 60 second <= (select max(ts) from events) - interval 10 second""")
@@ -499,6 +513,19 @@ def intake_stream(spark, sf):
     return spark.read.parquet(f"{folder}/rows").select(*keys)
 
 
+@check("first_write_stream", "select user_id, event_type, min(ts) as at from events group by user_id, event_type")
+def first_write_stream(spark, sf):
+    """The earliest event per user and kind; the same events a day later add nothing."""
+    folder, keys = _folder(spark, "first"), ["user_id", "event_type"]
+    events = spark.read.parquet(f"{sf}/events.parquet").select(*keys, F.col("ts").cast("timestamp").alias("at"))
+    with _state_store(spark):
+        for later in (0, 1):
+            events.withColumn("at", F.col("at") + F.make_interval(days=F.lit(later))).write.mode("append").parquet(f"{folder}/in")
+            arriving = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+            _to_the_end(jobs.append_trail(jobs.first_by_state(arriving, keys), f"{folder}/rows", f"{folder}/state"))
+    return spark.read.schema(events.schema).parquet(f"{folder}/rows")
+
+
 # --- runs that stop and go on -------------------------------------------------------------------------------------
 @check("derive_resumed", """
 select 'stopped' as state, 'segments of the new standard that searches read' as what, cast(null as varchar) as key, '0' as value

@@ -17,6 +17,7 @@ from ..operators.terms import term_closure
 from ..plans.export import export_roster
 from ..plans.lint import lint_query
 from ..plans.query import Condition, Query, Seek
+from ..session import with_scalars
 from . import base
 from .inputs import AS_OF, define, load
 from .registry import check
@@ -248,6 +249,18 @@ def recent(spark, sf):
     return logs.recent(turns, "3", 10).select("id", "title", "spec")
 
 
+@check("recent_page", """
+with chains as (select t.*, row_number() over (order by seq desc, id desc) as n from {fx_turn} t where owner_id = '3' and not exists (select 1 from {fx_turn} f where f.parent_turn_id = t.id))
+select t.id, r.raw_text as title, (select count(*) from {fx_turn} o where o.owner_id = '3' and o.parent_turn_id is null) as total
+from chains t join {fx_turn} r on r.id = t.root_turn_id where t.n between 5 and 10""")
+def recent_page(spark, sf):
+    """The page behind a cursor, the last row of the page before, and how many chains there are."""
+    turns = _turns(spark, sf).withColumn("spec", F.col("raw_text"))
+    seen = logs.recent(turns, "3", 3).orderBy(F.desc("created_at"), F.desc("id")).collect()
+    after = logs.recent(turns, "3", 5, after=(seen[-1].created_at, seen[-1].id))
+    return with_scalars(after.select("id", "title"), logs.chains_of(turns, "3"))
+
+
 @check("delete_chain", "select id from {fx_turn} where root_turn_id <> '13-0'")
 def delete_chain(spark, sf):
     return logs.delete_chain(load(spark, sf, "fx_turn"), "13-1", "3").select("id")
@@ -398,13 +411,21 @@ def export_roster_(spark, sf):
 
 
 @check("query_lint", """
-select 'ring' as id, 'no_criterion' as problem, true as hard union all select 'nobody', 'selects_nobody', false union all select 'broken', 'does_not_run', true
-union all select 'words', 'internal_words', true union all select 'words', 'no_criterion', true""")
+select c.id, p.problem, p.hard from (values ('ring', 'worked on rings', false), ('nobody', 'works on the moon', true), ('broken', 'a column that is not there', true),
+  ('pattern', 'a pattern nobody can read', true), ('words', '词表 of reds', false), ('senior', 'level L1 or above', true)) c(id, label, fine)
+join (select 'internal_words' as problem, true as hard union all select 'no_criterion', true union all select 'selects_nobody', false union all select 'does_not_run', true) p on
+  (p.problem = 'internal_words' and contains(c.label, '词表')) or (p.problem = 'no_criterion' and not c.fine)
+  or (p.problem = 'does_not_run' and c.id in ('broken', 'pattern'))
+  or (p.problem = 'selects_nobody' and ((c.id = 'nobody' and not exists (select 1 from {fx_person} where school = 'Moon'))
+    or (c.id = 'senior' and not exists (select 1 from {fx_person} where level_rank >= 1))
+    or (c.id = 'words' and not exists (select 1 from {o_phrase} where contains(lower(text), 'red')))))""")
 def query_lint(spark, sf):
+    """A condition per kind of problem, one of them a pattern that cannot be read, and one without any."""
     nobody = Condition("nobody", "works on the moon", "must", "person", where="p.school = 'Moon'")
     broken = Condition("broken", "a column that is not there", "must", "person", where="p.no_such_column = 1")
+    pattern = Condition("pattern", "a pattern nobody can read", "boost", "experience", seek=Seek(("(open",), "is about it"))
     words = Condition("words", "词表 of reds", "boost", "experience", seek=Seek.words("red"))
-    return lint_query(search(spark, sf, Query((RING, nobody, broken, words, SENIOR))))
+    return lint_query(search(spark, sf, Query((RING, nobody, broken, pattern, words, SENIOR))))
 
 
 @check("reading_loop", f"""
@@ -453,3 +474,65 @@ def condition_functions(spark, sf):
         c.contained_in(F.array(status), words("F", "O", "P")).alias("contained"), c.none_equals(status, words("F", "P")).alias("none_of"),
         c.periods_overlap(day, day + F.expr("interval 30 days"), F.to_timestamp(F.lit("1997-01-01")), F.to_timestamp(F.lit("1999-01-01"))).alias("overlaps"),
         c.regex_ci(F.col("o_orderpriority"), "HIGH|low").alias("named"))
+
+
+# --- whole tables of cases -------------------------------------------------------------------------------------------
+# a case per noun: its words, answers as in `apply_judgments`, more people write "blue x" than "large x"; later nouns have fewer faults
+@check("eval_review_cases", """
+with w as (select word, split_part(word, ' ', 1) as adj, split_part(word, ' ', 2) as noun from {fx_term} where word like '% %'),
+f as (select noun as name, bool_or(adj = 'red') as red, bool_or(adj = 'blue') as blue, bool_or(adj = 'new') as fresh,
+  count(*) filter (adj not in ('red', 'blue', 'small', 'new')) as rest, noun < 'h' as early, noun >= 'p' as late from w group by noun),
+s as (select name, case when late then 2 else 3 end as found, (not red)::int + (not blue)::int + (not late)::int as missed, case when late then 1 else 2 end as not_found,
+  (blue and not late)::int as mixed, case when early then 2 else 1 end as expected, case when early then (not fresh)::int + 1 when late then (not fresh)::int else 1 end as kept,
+  (fresh and not early and not late)::int as dropped, red::int as names, (red and length(name) + 5 > 8)::int as unclickable, case when late then 0 else rest end as unanswered from f)
+select *, missed + mixed + kept + dropped + unclickable + unanswered = 0 as ok from s""")
+def eval_review_cases(spark, sf):
+    from .words import NOW, _raw_judgments
+    adj, noun = F.split_part("word", F.lit(" "), F.lit(1)), F.split_part("word", F.lit(" "), F.lit(2))
+    words = base.terms(spark, sf).filter("word like '% %'").select("word", adj.alias("adj"), noun.alias("name"))
+    early, late = F.col("name") < "h", F.col("name") >= "p"
+    of = lambda first: F.concat(F.lit(first + " "), "name")
+    work = F.concat("name", F.lit(" work"))
+    pairs = lambda *two: F.array(*[F.array(a, b) for a, b in two])
+    own = words.groupBy("name").agg(F.collect_list(F.struct("word", F.when(F.col("adj") == "blue", 9).otherwise(1).cast("long").alias("people"))).alias("words"))
+    cases = own.select(
+        "name", "words", F.when(early, F.array(of("new"), of("old"))).when(late, F.array(of("new"))).otherwise(F.array(of("old"))).alias("excluded"),
+        F.when(late, pairs((work, of("red")), (of("large"), of("blue")))).otherwise(pairs((work, of("red")), (of("large"), of("blue")), (of("small"), of("red")))).alias("found"),
+        F.when(late, pairs((work, of("small")))).otherwise(pairs((work, of("small")), (of("blue"), of("large")))).alias("not_found"))
+    asked = F.col("adj").isin("red", "blue", "small", "new") | ~late
+    answers = _raw_judgments(spark, sf).join(words, "word").filter(asked).select(
+        "name", (F.ascii("word") * 100 + F.length("adj")).alias("at"), "word", "near", "judgment")
+    return evals.eval_review_cases(cases, answers, NOW)
+
+
+# a case per way of recruitment, over the page of the flagship search
+@check("eval_rosters", """
+with page as (select emp_id, row_number() over (order by depth desc, emp_id) as rank from {q_flag_page}),
+r as (select p.recruitment as name, g.emp_id, g.rank, b.months from page g join {fx_person} p on p.emp_id = g.emp_id join {q_flag_basis} b on b.emp_id = g.emp_id and b.cond = 0),
+ends as (select e.name, e.a, e.z, x.rank < y.rank as right_way from (select name, min(emp_id) as a, max(emp_id) as z from r group by name having min(emp_id) <> max(emp_id)) e
+  join r x on x.emp_id = e.a join r y on y.emp_id = e.z)
+select recruitment as name, 'missing' as problem, emp_id as subject from {fx_person} where level_rank >= 3 and emp_id not in (select emp_id from page)
+union all select recruitment, 'intruding', emp_id from {fx_person} where school_tier = '985' and emp_id in (select emp_id from page)
+union all select name, 'misplaced', case when right_way then concat(z, ' before ', a) else concat(a, ' before ', z) end from ends
+union all select distinct recruitment, 'no evidence', 'nobody' from {fx_person}
+union all select name, 'other months', concat(emp_id, ' ', months) from r where months <> 12
+union all select distinct r.name, 'elsewhere', concat(e.emp_id, ' ', coalesce(nullif(x.company, ''), x.department)) from {q_flag_evidence} e join r on r.emp_id = e.emp_id
+  join {o_experience} x on x.id = e.id where not contains(coalesce(nullif(x.company, ''), x.department), 'Supplier')""")
+def eval_rosters(spark, sf):
+    """Rosters of a table of cases with planted errors of every kind: people, order, months and places of the evidence."""
+    found = search(spark, sf, FLAGSHIP)
+    people = load(spark, sf, "fx_person")
+    way = people.select("emp_id", F.col("recruitment").alias("name"))
+    rosters = found.roster().select("emp_id", "rank", F.col("basis")[0]["months"].alias("months")).join(way, "emp_id")
+    evidence = found.evidence().select("emp_id", "company", "department").join(way, "emp_id")
+    ends = rosters.groupBy("name").agg(F.min("emp_id").alias("a"), F.max("emp_id").alias("z"), F.collect_list("emp_id").alias("listed"))
+    wanted = people.groupBy(F.col("recruitment").alias("name")).agg(
+        F.collect_list(F.when(F.col("level_rank") >= 3, F.col("emp_id"))).alias("includes"), F.collect_list(F.when(F.col("school_tier") == "985", F.col("emp_id"))).alias("excludes"))
+    shape = lambda who, months, place: F.struct(who.alias("emp_id"), F.lit(months).cast("long").alias("months"), F.lit(place).alias("place"))
+    none = F.array().cast("array<array<string>>")
+    two = F.when(F.col("a") != F.col("z"), F.array(F.array("a", "z"), F.array("z", "a"))).otherwise(none)
+    listed = F.coalesce("listed", F.array().cast("array<string>"))
+    cases = wanted.join(ends, "name", "left").select(
+        "name", "includes", "excludes", F.coalesce(two, none).alias("before"),
+        F.concat(F.transform(listed, lambda who: shape(who, 12, "Supplier")), F.array(shape(F.lit("nobody"), 12, None))).alias("evidence"))
+    return evals.roster_problems(cases, rosters, evidence)

@@ -480,7 +480,13 @@ def conform_extractions(spark, sf):
                     item(F.lit("a word that is much too long"), F.lit("主导")),
                     item(F.col("word"), F.when(F.col("quantity") >= 25, "主导").otherwise("提到")),
                     item(F.split_part("word", F.lit(" "), F.lit(1)), F.lit("other")), item(F.lit(" "), F.lit("主导")))
-    answers = s.select(F.col("id").alias("experience_id"), "company", F.to_json(F.struct(items.alias("items"))).alias("answer"))
+    told = F.to_json(F.struct(items.alias("items")))
+    # items that are none, or whose text is none, are dropped alone; an answer that is no object at all gives no row
+    told = F.replace(told, F.lit('{"items":['), F.lit('{"items":[5,null,{"text":{}},{"text":7,"depth":"主导"},[1],"bare",'))
+    answers = s.select(F.col("id").alias("experience_id"), "company", told.alias("answer"))
+    useless = [s.select(F.concat(F.lit(name), "id").alias("experience_id"), "company", F.lit(text).alias("answer")) for name, text in (("x", "{"), ("y", "[1]"), ("z", "7"))]
+    for more in useless:
+        answers = answers.unionByName(more)
     out = derive.conform_extractions(answers)
     return out.select("experience_id", F.array_join(F.transform("items", lambda i: F.concat(
         i["text"], F.lit("="), F.coalesce(i["engagement"], F.lit("?")))), "|").alias("items"))

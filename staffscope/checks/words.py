@@ -73,7 +73,7 @@ select word, near, cast(place as int) as place, round(round(score, 9), 6) as sco
 def nearest_terms(spark, sf):
     v = load(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("word"), "embedding",
                                             F.lpad(F.col("vec_id").cast("string"), 20, "0").alias("pos"))
-    return nearest(v, v.drop("pos")).withColumn("score", F.round("score", 6))
+    return nearest(v, v.drop("pos")).withColumn("score", F.round(F.round("score", 9), 6))
 
 
 def _reviewed(spark, sf):
@@ -135,8 +135,10 @@ def _raw_judgments(spark, sf):
     target = (F.when(adj == "red", F.concat(noun, F.lit(" work"))).when(adj == "blue", F.concat(F.lit("large "), noun))
               .when(adj == "large", F.concat(F.lit("far too long a name for "), noun)).when(adj == "old", F.concat(F.lit("unlisted "), noun)).otherwise(""))
     near = F.array(F.struct(F.concat(F.lit("large "), noun).alias("word"), F.lit(3).cast("bigint").alias("people")))
-    return t.select("word", F.col("word").alias("id"), near.alias("near"),
-                    F.to_json(F.struct(F.lit("").alias("why"), kind.alias("kind"), target.alias("target"))).alias("judgment"))
+    told = F.to_json(F.struct(F.lit("").alias("why"), kind.alias("kind"), target.alias("target")))
+    # answers that are no JSON, no object, and whose fields are no texts
+    malformed = F.when(adj == "cold", '[{"kind":"自成一项"}]').when(adj == "hot", '{"why":"').when(adj == "large", '{"why":"","kind":["自成一项"],"target":3}')
+    return t.select("word", F.col("word").alias("id"), near.alias("near"), F.coalesce(malformed, told).alias("judgment"))
 
 
 @check("conform_judgments", """
@@ -182,6 +184,21 @@ def send_back_branch(spark, sf):
     return terms.select("word", F.col("alias_sent_back").alias("sent_back"), F.col("reviewed_at").isNotNull().alias("reviewed"))
 
 
+@check("send_back_scopes", """
+select 'all' as scope, word, canonical <> word as sent_back, false as reviewed, 0 as queued from {fx_term}
+union all select 'excluded', word, false, not excluded and parent is not null, (select count(*) from {fx_term} q where not q.excluded) from {fx_term}
+union all select 'term', word, canonical <> word and canonical = 'widget', canonical <> 'widget' and parent is not null,
+  (select count(*) from {fx_term} q where q.canonical <> 'widget') from {fx_term}""")
+def send_back_scopes(spark, sf):
+    """Everything, what is no skill, and one item without its branch."""
+    found = []
+    for scope, word in (("all", None), ("excluded", None), ("term", "gizmo")):
+        terms, queue = term_ops.send_back(_reviewed(spark, sf), _queue(spark, sf), scope, word)
+        found.append(terms.select(F.lit(scope).alias("scope"), "word", F.col("alias_sent_back").alias("sent_back"), F.col("reviewed_at").isNotNull().alias("reviewed"),
+                                  F.lit(queue.count()).alias("queued")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @check("queue_open", "select word from {fx_term} where word like 'c%' and word not like '%r' order by word")
 def queue_open(spark, sf):
     return term_ops.queue_open(_queue(spark, sf), GUIDE).select("word")
@@ -259,6 +276,22 @@ def scoped_segments(spark, sf):
     return base.views(spark, sf, people)["experience"].agg(F.count("*").alias("segments"), F.count_distinct("emp_id").alias("people"))
 
 
+@check("owner_of_chain", """
+select t.id, t.owner_id, count(p.emp_id) as people from {fx_turn} t left join {o_scope} s on s.user_id = case t.owner_id when '3' then 'r-ASIA' when '4' then 'all' else t.owner_id end
+left join {fx_person} p on starts_with(concat(p.cur_dept_path, '>'), concat(s.org_path, '>')) where t.id in ('3-1', '4-0', '5-1') group by t.id, t.owner_id""")
+def owner_of_chain(spark, sf):
+    """A chain is read in the scope of the account that owns it; an account without organisations sees nobody."""
+    turns, scopes = load(spark, sf, "fx_turn"), scope_ops.normalise_scopes(load(spark, sf, "fx_scope"))
+    account = {"3": "r-ASIA", "4": "all"}
+    rows = []
+    for turn in ("3-1", "4-0", "5-1", "no such turn"):
+        owner = scope_ops.owner_of_chain(turns, turn)
+        if owner is not None:
+            people = scope_ops.visible(base.employee(spark, sf), scopes, account.get(owner, owner))
+            rows.append(people.agg(F.count("*").alias("people")).select(F.lit(turn).alias("id"), F.lit(owner).alias("owner_id"), "people"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @check("org_tree", """
 select path, list_last(string_split(path, '>')) as name, cast(len(string_split(path, '>')) - 1 as int) as depth, cast(count(*) as bigint) as people from (
   select 'Group' as path from {fx_person} union all select concat('Group>', string_split(cur_dept_path, '>')[2]) from {fx_person} union all select cur_dept_path from {fx_person}) group by path""")

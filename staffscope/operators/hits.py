@@ -31,12 +31,10 @@ def criterion_key(criterion: str) -> str:
     return hashlib.sha256(criterion.encode()).hexdigest()
 
 
-def materialise_hits(edges: DataFrame, experience: DataFrame, matched: DataFrame | None, whole: list[int],
-                     criteria: dict[int, str | None], verdicts: DataFrame | None) -> DataFrame:
-    """(cond, route, fits, phrase, phrase_id, engagement) next to the segment's own columns.
+def reach(edges: DataFrame, experience: DataFrame, matched: DataFrame | None, whole: list[int]) -> DataFrame:
+    """(cond, route, phrase, phrase_id, engagement) next to the segment's own columns, whatever was said about them.
 
-    Conditions with patterns reach segments through edges; the others take every segment once. A criterion reads
-    the stored verdict: true keeps, false drops, none leaves `fits` NULL (not confirmed yet).
+    Conditions with patterns reach segments through edges; the others take every segment once.
     """
     parts = []
     if matched is not None:
@@ -50,7 +48,12 @@ def materialise_hits(edges: DataFrame, experience: DataFrame, matched: DataFrame
         parts.append(experience.select("*", conds).withColumns({
             "route": F.when(F.col("kind") == "internal", "role").otherwise("title"), "phrase": none, "phrase_id": none,
             "engagement": none}))
-    hits = reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def judge_hits(hits: DataFrame, criteria: dict[int, str | None], verdicts: DataFrame | None) -> DataFrame:
+    """What was reached with `fits`: a criterion reads the stored verdict, true keeps, false drops, none leaves `fits` NULL
+    (not confirmed yet)."""
     judged = {cond: key for cond, key in criteria.items() if key}
     if not judged:
         return hits.withColumn("fits", F.lit(True))
@@ -64,6 +67,12 @@ def materialise_hits(edges: DataFrame, experience: DataFrame, matched: DataFrame
             .filter(~F.col("fits").eqNullSafe(False)).drop("_fits", "criterion_key"))
 
 
+def materialise_hits(edges: DataFrame, experience: DataFrame, matched: DataFrame | None, whole: list[int],
+                     criteria: dict[int, str | None], verdicts: DataFrame | None) -> DataFrame:
+    """(cond, route, fits, phrase, phrase_id, engagement) next to the segment's own columns."""
+    return judge_hits(reach(edges, experience, matched, whole), criteria, verdicts)
+
+
 def scoped_params(where: str, params: dict, mark: str) -> tuple[str, dict]:
     """The predicate with its named parameters renamed, so that several conditions fit in one statement."""
     renamed = {}

@@ -32,7 +32,7 @@ def runs(search: Search, at: int) -> bool:
         for pattern in condition.seek.patterns if condition.seek else ():
             literal_table(spark, [("",)], "text string").select(F.col("text").rlike(pattern)).collect()
         views = LazyTables({name: lambda name=name: search.views[name].limit(0) for name in search.views})
-        alone = replace(search, views=views, query=Query((condition,)), filters=type(search.filters)(), _kept=[])
+        alone = replace(search, views=views, query=Query((condition,)), filters=type(search.filters)(), reached=None, _kept=[])
         alone.selection().schema
         return True
     except (AnalysisException, ParseException, SparkRuntimeException):
@@ -51,7 +51,7 @@ def lint_query(search: Search, fact_limit: int | None = None) -> DataFrame:
             found.append((c.id, "internal_words", True))
         if c.seek and not c.seek.criterion:
             found.append((c.id, "no_criterion", True))
-    runnable = replace(search, query=Query(tuple(conditions[at] for at in good)))
+    runnable = replace(search, query=Query(tuple(conditions[at] for at in good)), reached=None)
     for row in runnable.probe().filter("people = 0").collect():  # at most one row per condition
         c = runnable.query.conditions[row["cond"]]
         if c.mode != "exclude":

@@ -11,7 +11,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.text import name_in
 from ..operators import facets as facet_ops, rank as rank_ops
-from ..operators.hits import (conditions_met, criterion_key, match_phrases, materialise_hits, people_where, segment_flags, segments_where)
+from ..operators.hits import (conditions_met, criterion_key, judge_hits, match_phrases, people_where, reach, segment_flags, segments_where)
 from ..schema import RESULT_PAGE
 from ..session import cut_lineage, literal_table, with_scalars
 from .query import Filters, Query
@@ -26,7 +26,8 @@ class Search:
 
     `views` are the catalog relations of one pinned corpus version, restricted to the reader's scope; `verdicts`
     those of this search task. `cache=True` keeps facts between the roster, the facets and the evidence;
-    `close()` gives the memory back. A query with criteria reads its hits up to six times within one result, so
+    `close()` gives the memory back. `reached`, where given, is what `reach()` of the same query and views found, written by
+    a caller who searches again with other verdicts. A query with criteria reads its hits up to six times within one result, so
     these are written to the checkpoint folder instead of being derived each time.
     """
 
@@ -36,6 +37,7 @@ class Search:
     verdicts: DataFrame | None = None
     filters: Filters = field(default_factory=Filters)
     cache: bool = False
+    reached: DataFrame | None = None
     _kept: list = field(default_factory=list, repr=False)
 
     def __post_init__(self):
@@ -71,15 +73,24 @@ class Search:
         # instead of shuffling every edge of the corpus by phrase
         return cut_lineage(match_phrases(self.views["phrase"], self.views["term"], patterns))
 
+    def _seeking(self) -> dict:
+        return {at: c.seek for at, c in enumerate(self.query.conditions) if c.seek and not c.off}
+
+    def reach(self) -> DataFrame | None:
+        """What the seeking conditions reach before anything was judged; the same in every round of reading."""
+        seeking = self._seeking()
+        if not seeking:
+            return None
+        whole = [at for at, seek in seeking.items() if not seek.patterns]
+        return reach(self.views["edge"], self.views["experience"], self.matched, whole)
+
     @cached_property
     def hits(self) -> DataFrame | None:
-        seeking = {at: c.seek for at, c in enumerate(self.query.conditions) if c.seek and not c.off}
-        if not seeking:
+        reached = self.reach() if self.reached is None else self.reached
+        if reached is None:
             return None
-        return materialise_hits(
-            self.views["edge"], self.views["experience"], self.matched,
-            [at for at, seek in seeking.items() if not seek.patterns],
-            {at: criterion_key(seek.criterion) if seek.criterion else None for at, seek in seeking.items()}, self.verdicts)
+        criteria = {at: criterion_key(seek.criterion) if seek.criterion else None for at, seek in self._seeking().items()}
+        return judge_hits(reached, criteria, self.verdicts)
 
     @cached_property
     def segments(self) -> DataFrame | None:

@@ -217,6 +217,31 @@ def test_nearest_against_brute_force(spark):
         assert [got[word][place] for place in range(1, 9)] == [words[n] for n in order]
 
 
+def test_nearest_searches_few_blocks_and_finds_all(spark, monkeypatch):
+    """Words in tight groups: most blocks are ruled out by their angle, and the answers stay those of comparing all."""
+    from staffscope.operators import neighbours
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 24))
+    vectors = np.concatenate([c + 0.05 * rng.normal(size=(40, 24)) for c in centres]).astype("float32")
+    vectors[3] = vectors[4] = vectors[5]
+    words = [f"w{n:03}" for n in range(len(vectors))]
+    df = spark.createDataFrame([(w, [float(x) for x in v], w) for w, v in zip(words, vectors)], "word string, embedding array<float>, pos string")
+    sent, real = [], neighbours._search
+    monkeypatch.setattr(neighbours, "_search", lambda k: sent.append(k) or real(k))
+    unit = vectors.astype("float64")
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 12)
+    got = {}
+    for r in nearest(df, df.drop("pos"), 5, block_rows=20).collect():
+        got.setdefault(r["word"], {})[r["place"]] = r["near"]
+    for at, word in enumerate(words):
+        order = sorted((n for n in range(len(words)) if n != at), key=lambda n: (-scores[at, n], words[n]))[:5]
+        assert [got[word][place] for place in range(1, 6)] == [words[n] for n in order]
+    assert nearest(df.limit(0), df.drop("pos"), 5).count() == 0 and nearest(df, df.drop("pos").limit(0), 5).count() == 0
+    few = {r["word"]: r["near"] for r in nearest(df.filter("word < 'w002'"), df.drop("pos").filter("word < 'w003'"), 5).collect()}
+    assert few["w000"] == "w001" and few["w001"] == "w000" and few["w002"] in ("w000", "w001")
+
+
 def test_conform_judgments(spark):
     near = [("Go", 3)]
     said = [('{"why":"","kind":"同一件事","target":"Go"}', ("same", "Go")), ('{"why":"","kind":"同一件事","target":"Rust"}', (None, None)),
