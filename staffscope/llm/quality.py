@@ -1,9 +1,10 @@
 """Quality by weak supervision: rules vote or abstain, expectation maximisation weighs them.
 
-Each rule looks at one property of a document and votes good, bad or abstains. How reliable each rule is comes from all
-documents, without labels: an expectation-maximisation over the vote patterns estimates, per rule, how often it votes
-good or bad on either kind of document. The posterior probability of good quality replaces a list of filters that all
-have to pass. Two base limits of the caller fail a document whatever the posterior.
+Each rule looks at one property of a document and votes good, bad or abstains; rules err, on good documents too. How
+reliable each rule is comes from the documents, without labels: an expectation-maximisation over the vote patterns
+estimates, per rule, how often it votes good or bad on either kind of document. The posterior probability of good quality
+replaces a list of filters that all have to pass: a document with a bad vote stays where the other rules outweigh it.
+Two base limits of the caller fail a document whatever the posterior, and what they fail teaches nothing.
 
 Scale: texts are read once and stay where they are; only numbers leave the task. The patterns are counted with a
 map-side combine: there are at most 3**rules of them (`PATTERNS`), which bounds what the estimation sees, on the driver,
@@ -99,13 +100,13 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols > 0.1 * n_words", "n_symbols <= 0.01 * n_words"),
-    Rule("letters", "n_words >= 20 AND n_letters < 0.89 * word_chars", "n_letters >= 0.92 * word_chars"),
-    Rule("capitals", "n_upper > 0.3 * word_chars", "n_upper < 0.1 * word_chars"),
-    Rule("lines", "n_dup_lines > 0.3 * n_lines", "n_lines >= 2 AND n_dup_lines = 0"),
-    Rule("repeats", "n_repeat_words > 0.2 * n_words", "n_words >= 50 AND n_repeat_words < 0.02 * n_words"),
-    Rule("stutter", "n_stutter > 0.1 * n_words", "n_words >= 20 AND n_stutter < 0.03 * n_words"),
-    Rule("length", "word_chars < 3 * n_words OR word_chars > 10 * n_words", "word_chars BETWEEN 3.5 * n_words AND 8 * n_words"),
-    Rule("stops", "n_words >= 50 AND n_stops < 0.02 * n_words", "n_stops BETWEEN 0.03 * n_words AND 0.6 * n_words"),
+    Rule("letters", "n_words >= 20 AND n_letters < 0.92 * word_chars", "n_letters >= 0.95 * word_chars"),
+    Rule("capitals", "n_words >= 30 AND n_upper > 0.03 * word_chars", "n_upper < 0.025 * word_chars"),
+    Rule("lines", "n_dup_lines > 0.1 * n_lines", "n_lines >= 3 AND n_dup_lines = 0"),
+    Rule("repeats", "n_repeat_words > 0.04 * n_words", "n_words >= 50 AND n_repeat_words = 0"),
+    Rule("stutter", "n_stutter > 0.02 * n_words", "n_words >= 50 AND n_stutter < 0.008 * n_words"),
+    Rule("length", "n_words >= 30 AND word_chars NOT BETWEEN 4.5 * n_words AND 6 * n_words", "word_chars BETWEEN 4.6 * n_words AND 5.8 * n_words"),
+    Rule("stops", "n_words >= 50 AND n_stops NOT BETWEEN 0.085 * n_words AND 0.22 * n_words", "n_words >= 50 AND n_stops BETWEEN 0.1 * n_words AND 0.19 * n_words"),
 )
 BASE_FAILED = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
 
@@ -129,34 +130,40 @@ class Model:
         return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rules: int, rounds: int = 100, strength: float = 0.01) -> Model:
+#: Where the estimation starts: errors of a rule on good documents, its finds among bad ones, the share of good documents.
+START_ON_GOOD, START_ON_BAD, START_PRIOR = 0.05, 0.4, 0.9
+#: No rule is taken to be surer than this, whatever it was seen to do.
+FLOOR = 0.01
+
+
+def estimate(patterns: list[tuple[tuple[int | None, ...], int]], rules: int, rounds: int = 200, strength: float = 0.002) -> Model:
     """Expectation maximisation over (votes, number of documents).
 
-    An abstention says nothing. Estimates lean on a start (a rule is wrong on 0.5 % of good and finds 30 % of bad
-    documents) that counts as `strength` of all documents, and a bad vote may never speak for a document nor a good one
-    against it: so a document without a bad vote is never rejected.
+    An abstention says nothing. Estimates lean on the start as if that had been seen on `strength` of all documents, and
+    one more. A rule found to vote alike on good and bad documents weighs nothing, so its bad vote costs no document.
     """
-    start_good, start_bad, prior = 0.005, 0.3, 0.85
+    prior = START_PRIOR
     counts = np.array([n for _, n in patterns], float)
     votes = np.array([[np.nan if v is None else v for v in pattern] for pattern, _ in patterns], float).reshape(-1, rules)
     said_bad, said = votes == 0, ~np.isnan(votes)
-    on_good, on_bad = np.full(rules, start_good), np.full(rules, start_bad)
+    on_good, on_bad = np.full(rules, START_ON_GOOD), np.full(rules, START_ON_BAD)
     lean = strength * counts.sum() + 1
     for _ in range(rounds if len(patterns) else 0):
         odds = np.log(prior / (1 - prior)) + (np.where(said_bad, np.log(on_good / on_bad), 0)
                                               + np.where(said & ~said_bad, np.log((1 - on_good) / (1 - on_bad)), 0)).sum(axis=1)
         good = counts / (1 + np.exp(-odds))
         bad = counts - good
-        on_good = (good @ said_bad + lean * start_good) / (good @ said + lean)
-        on_bad = np.maximum((bad @ said_bad + lean * start_bad) / (bad @ said + lean), on_good)
-        prior = float(np.clip((good.sum() + lean * 0.85) / (counts.sum() + lean), 0.5, 0.999))
+        on_good = np.clip((good @ said_bad + lean * START_ON_GOOD) / (good @ said + lean), FLOOR, 1 - FLOOR)
+        on_bad = np.clip((bad @ said_bad + lean * START_ON_BAD) / (bad @ said + lean), FLOOR, 1 - FLOOR)
+        prior = float(np.clip((good.sum() + lean * START_PRIOR) / (counts.sum() + lean), 0.5, 1 - FLOOR))
     return Model(prior, tuple(map(float, on_good)), tuple(map(float, on_bad)))
 
 
 def fit(numbers: DataFrame, rules: tuple[Rule, ...] = RULES) -> Model:
-    """The model of all rows of `numbers` (columns `STATS`). The driver gets a row per vote pattern, 3**rules at most."""
+    """The model of the rows of `numbers` (columns `STATS`) that the base limits leave. The driver gets a row per vote
+    pattern, 3**rules at most."""
     votes = [rule.vote.alias(rule.name) for rule in rules]
-    patterns = numbers.groupBy(*votes).count().collect()
+    patterns = numbers.filter(f"NOT ({BASE_FAILED})").groupBy(*votes).count().collect()
     return estimate([(tuple(row)[:-1], row["count"]) for row in patterns], len(rules))
 
 

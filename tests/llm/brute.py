@@ -96,6 +96,53 @@ def quality(text):
     return len(found), sum(map(len, found)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(repeated)
 
 
+def votes(text):
+    """What each quality rule says of a text: 0 bad, 1 good, None."""
+    n_words, chars, symbols, dup, repeat = quality(text)
+    found = words(text)
+    text = text if found else ""
+    lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+    upper, stops = (sum(c in marks for c in text) for marks in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:"))
+    letters = sum(c.isascii() and c.isalpha() or ord(c) > 127 for c in text)
+    stutter = sum(a == b for a, b in zip(found, found[1:]))
+    if not found:
+        symbols = 0
+    says = [(symbols > 0.1 * n_words, symbols <= 0.01 * n_words), (n_words >= 20 and letters < 0.92 * chars, letters >= 0.95 * chars),
+            (n_words >= 30 and upper > 0.03 * chars, upper < 0.025 * chars), (dup > 0.1 * lines, lines >= 3 and dup == 0),
+            (repeat > 0.04 * n_words, n_words >= 50 and repeat == 0), (stutter > 0.02 * n_words, n_words >= 50 and stutter < 0.008 * n_words),
+            (n_words >= 30 and not 4.5 * n_words <= chars <= 6 * n_words, 4.6 * n_words <= chars <= 5.8 * n_words),
+            (n_words >= 50 and not 0.085 * n_words <= stops <= 0.22 * n_words, n_words >= 50 and 0.1 * n_words <= stops <= 0.19 * n_words)]
+    return [0 if bad else 1 if good else None for bad, good in says]
+
+
+def kept(texts, floor=0.01, rounds=200):
+    """Which texts stay: a plain expectation maximisation over documents, one after the other."""
+    import math
+    failed = [n < 10 or 100 * r > 20 * n for n, _, _, _, r in map(quality, texts)]
+    said = [votes(t) for t in texts]
+    used = [v for v, f in zip(said, failed) if not f]
+    lean, rules, prior = 0.002 * len(used) + 1, len(said[0]) if said else 0, 0.9
+    rate = {0: [0.05] * rules, 1: [0.4] * rules}  # of bad votes, on good and on bad documents
+
+    def good(vote):
+        odds = math.log(prior / (1 - prior))
+        for n, v in enumerate(vote):
+            if v is not None:
+                a, b = rate[0][n], rate[1][n]
+                odds += math.log(a / b) if v == 0 else math.log((1 - a) / (1 - b))
+        return 1 / (1 + math.exp(-odds))
+    clip = lambda x: min(max(x, floor), 1 - floor)
+    for _ in range(rounds if used else 0):
+        share = [good(v) for v in used]
+        new = {}
+        for kind, start in ((0, 0.05), (1, 0.4)):
+            weight = [s if kind == 0 else 1 - s for s in share]
+            new[kind] = [clip((sum(w for w, v in zip(weight, used) if v[n] == 0) + lean * start)
+                              / (sum(w for w, v in zip(weight, used) if v[n] is not None) + lean)) for n in range(rules)]
+        rate, prior = new, min(max((sum(share) + lean * 0.9) / (len(used) + lean), 0.5), 1 - floor)
+    return [not f and good(v) >= 0.5 for f, v in zip(failed, said)], said
+
+
 def targets(sizes, weights=(5, 2, 1), most=3):
     """Target of each source by resharing until nothing is above its limit."""
     total = Counter()

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from staffscope.llm import byte_bpe, chat, chunks, exact_dedup, mixing, quality, sharding, simhash, similar, token_counts, token_files, url_filters, wavelet
 from staffscope.llm.common import table
+from staffscope.sources.answers import AnswerCache
 
 SF = "/root/testdata/sf0.001"
 PAIRS = [(r[0], r[1]) for r in odd_rows()]
@@ -62,11 +63,16 @@ def test_token_counts(odd, none, folder):
 def test_only_missing_texts_are_encoded(spark, odd, folder):
     version = token_counts.tokenizer_version("byte_bpe_50k.json")
     token_counts.count_tokens(odd.limit(10), folder)
-    before = token_counts.stored(spark, folder, version).count()
+    first = AnswerCache(spark, folder, "bigint")
+    before = first.entries(version).count()
+    first.close()
     token_counts.count_tokens(odd, folder)
-    cache = token_counts.stored(spark, folder, version)
-    assert before < cache.count() == cache.select("digest").distinct().count() == len({t or "" for _, t in PAIRS})
-    spark.createDataFrame([(hashlib.sha256(b"one").digest(), 77)], token_counts.ENTRY).write.mode("overwrite").parquet(f"{folder}/b/tokenizer={version}")
+    cache = AnswerCache(spark, folder, "bigint")
+    assert before < cache.stored(version).count() == cache.entries(version).count() == len({t or "" for _, t in PAIRS})
+    cache.close()
+    planted = AnswerCache(spark, f"{folder}/b", "bigint")
+    planted.write(version, spark.createDataFrame([(hashlib.sha256(b"one").hexdigest(), 77)], token_counts.ENTRY))
+    planted.close()
     held = token_counts.count_tokens(odd, f"{folder}/b").filter("n_tokens = 77").collect()
     assert held  # a stored count is taken, not encoded again
 
@@ -220,7 +226,7 @@ def test_similar_documents(spark, odd, none, monkeypatch):
     for doc_id, text in rows:
         if doc_id is not None:
             smallest[group[text or ""]] = min(doc_id, smallest.get(group[text or ""], doc_id))
-    for common in (4, 1, 10 ** 9):  # every order of shingles finds the same
+    for common in (4, 10 ** 9):  # every order of shingles finds the same
         monkeypatch.setattr(similar, "COMMON", common)
         kept = [(r.doc_id, group[r.text or ""]) for r in similar.keep_one(docs).collect()]
         assert Counter(g for _, g in kept) == Counter(set(group.values()))
@@ -421,11 +427,26 @@ def test_quality_numbers(odd, none):
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in got)
 
 
+def test_quality_verdicts_are_those_of_a_plain_estimation(spark, odd):
+    """Over odd texts, and over whole documents: with some that stay in spite of a bad vote."""
+    stays, _ = brute.kept([t for _, t in PAIRS])
+    same([(r.doc_id, r.kept) for r in quality.judge(odd).collect()], [(d, k) for (d, _), k in zip(PAIRS, stays)])
+    docs = table(spark, SF, "documents").select("doc_id", "text").collect()
+    stays, said = brute.kept([r.text for r in docs])
+    from staffscope.llm.queries import QUERIES
+    same([(r.doc_id, r.kept) for r in QUERIES["op7_quality"](spark, SF).collect()], [(r.doc_id, k) for r, k in zip(docs, stays)])
+    assert sum(k and 0 in votes for k, votes in zip(stays, said)) >= 5
+
+
 def test_quality_against_labels(spark):
     at = "/root/testdata/sf0.01"
-    judged = quality.judge(table(spark, at, "documents")).join(table(spark, at, "labels"), "doc_id").collect()
+    numbers = table(spark, at, "documents").select("doc_id", quality.stats(quality.whole()).alias("stats")).select("doc_id", "stats.*")
+    model = quality.fit(numbers)
+    bad_vote = quality.F.greatest(*[(rule.vote == 0).cast("int") for rule in quality.RULES]) == 1
+    judged = quality.judged(numbers, model).withColumn("bad_vote", bad_vote).join(table(spark, at, "labels"), "doc_id").collect()
     good, bad = [r for r in judged if r.quality and not r.base_failed], [r for r in judged if not r.quality]
-    assert sum(r.kept for r in good) >= 0.99 * len(good) and sum(r.kept for r in bad) <= 0.1 * len(bad)
+    assert sum(r.kept for r in good) >= 0.99 * len(good) and sum(r.kept for r in bad) <= 0.05 * len(bad)
+    assert sum(r.kept and r.bad_vote for r in good) >= 0.05 * len(good)  # where filters that all must pass would lose them
 
 
 def test_estimate_finds_reliable_rules():
@@ -440,7 +461,7 @@ def test_estimate_finds_reliable_rules():
     model = quality.estimate(list(votes.items()), 3)
     assert model.bad_on_bad[0] > 0.7 and model.bad_on_good[0] < 0.08
     assert abs(model.bad_on_bad[2] - model.bad_on_good[2]) < 0.15 and 0.7 < model.prior < 0.9
-    assert quality.estimate([], 3).prior == 0.85
+    assert quality.estimate([], 3).prior == quality.START_PRIOR
 
 
 # 8
@@ -582,19 +603,53 @@ def test_a_batch_given_again_has_the_same_answer(spark):
 
 # pipeline
 
-def test_pipeline(spark, odd, none, tmp_path):
+def test_pipeline_is_its_plain_stages(spark, tmp_path):
+    """run() over documents, odd texts, exact and near copies against the stages done plainly one after the other."""
+    import corpus_pipeline
+    rng = random.Random(14)
+    docs = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    docs += [r[:5] for r in odd_rows()]
+    for n, similarity in enumerate((0.7, 0.79, 0.8, 0.85, 0.9, 0.95)):
+        for m, text in enumerate(near_copies(rng, similarity, 200)):
+            words = text.split()
+            text = "\n".join(" ".join(words[at:at + 12]) + "." for at in range(0, len(words), 12)) if m else text
+            docs.append((20_000 + 10 * n + m, text, "en", "web", len(text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(4).write.parquet(f"{tmp_path}/in/documents.parquet")
+    rows = [(d, t or "", s) for d, t, _, s, _ in docs]
+    stays, _ = brute.kept([t for _, t, _ in rows])
+    rows = [row for row, stay in zip(rows, stays) if stay]
+    first = lambda row: (row[0] is None, row[0] or 0)
+    for label in (lambda some: [brute.SPACE.sub(" ", t) for _, t, _ in some], lambda some: brute.similar([t for _, t, _ in some])):
+        groups = defaultdict(list)
+        for row, name in zip(rows, label(rows)):
+            groups[name].append(row)
+        rows = [min(group, key=first) for group in groups.values()]
+    goal, total = brute.targets([(s, len(brute.words(t))) for _, t, s in rows])
+    reference, want = reference_encoding(), {}
+    for d, t, s in rows:
+        ids = reference.encode_ordinary(t)
+        want[d, hashlib.sha256(t.encode()).hexdigest()] = (s, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), len(brute.words(t)))
+    taken, copies = Counter(), Counter()
+    for r in corpus_pipeline.run(spark, f"{tmp_path}/in").collect():
+        key = (r.doc_id, r.decoded_sha256)
+        assert want[key][:3] == (r.source, r.n_tokens, r.ids_sha256) and len(r.ids) == r.n_tokens
+        copies[key] += 1
+        taken[r.source] += want[key][3]
+    for key, (source, _, _, size) in want.items():
+        assert goal[source] // total[source] <= copies[key] <= 3
+    for source, target in goal.items():
+        assert abs(taken[source] - target) <= max(size for s, _, _, size in want.values() if s == source)
+    assert len(rows) > 120
+
+
+def test_stages_keep_the_columns_of_documents(spark, none, tmp_path):
     import corpus_pipeline
-    for name, given in (("odd", odd), ("none", none), ("sf", table(spark, SF, "documents"))):
-        given.write.parquet(f"{tmp_path}/{name}/documents.parquet")
-        docs, kept = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet"), None
-        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            out = stage(spark, docs, f"{tmp_path}/{name}")
-            if number < 4:
-                assert out.columns == given.columns
-            out.write.parquet(f"{tmp_path}/{name}/{number}")
-            before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}/{number}")
-            if number < 3:
-                assert docs.count() <= before.count()
-        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == docs.count() == before.count()
-        if name == "sf":
-            assert docs.count() > 100
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert number == 4 or out.columns == none.columns
+        out.write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        assert docs.count() == 0
