@@ -148,19 +148,22 @@ def full(rows):
 
 
 def test_rounds_give_what_one_by_one_gives(spark):
+    """Forty tables with their queues side by side: their words are told apart by a prefix, their judgments interleave."""
     rng = random.Random(21)
-    for case in range(10):
-        rows, queue = random_queue(rng, named=rng.choice((6, 20, 40)))
-        times = {w: datetime(2020, 1, 1 + n % 28) for n, (w, *_) in enumerate(rows) if n % 3}
-        held = [dict(zip(ops.ROW, (w, c, sent, p, x, times.get(w)))) for w, c, sent, p, x in rows]
-        want = full(ops.place_all(held, queue, NOW))
-        terms = spark.createDataFrame([tuple(row.values()) for row in held], ops.TERM_DDL)
-        judged = spark.createDataFrame([(7 * n, *j) for n, j in enumerate(queue)], "id long, word string, verdict string, target string")
-        settled, left = settle(terms, judged, NOW, rounds=len(queue))
-        assert left.isEmpty() and full(settled.collect()) == want, (case, queue)
-        if case < 3:
-            for rounds in (0, 1, 2):
-                assert full(ops.apply_judgments(terms, judged, NOW, rounds).collect()) == want
+    held, judged, want = [], [], []
+    for case in range(40):
+        rows, queue = random_queue(rng, words=rng.choice((14, 40)), judged=rng.choice((3, 8)), named=rng.choice((4, 9, 14)))
+        own = lambda w: w and f"{case:02}{w}"  # noqa: B023, E731
+        mine = [dict(zip(ops.ROW, (own(w), own(c), sent, own(p), x, datetime(2020, 1, 1 + n % 28) if n % 3 else None))) for n, (w, c, sent, p, x) in enumerate(rows)]
+        asked = [(own(w), v, own(t)) for w, v, t in queue]
+        want += ops.place_all(mine, asked, NOW)
+        held += mine
+        judged += [(100 * n + case, *j) for n, j in enumerate(asked)]
+    terms = spark.createDataFrame([tuple(row.values()) for row in held], ops.TERM_DDL)
+    df = spark.createDataFrame(judged, "id long, word string, verdict string, target string")
+    settled, left = settle(terms, df, NOW, rounds=8)
+    assert left.isEmpty() and full(settled.collect()) == full(want)
+    assert full(ops.apply_judgments(terms, df, NOW, rounds=1).collect()) == full(want)  # the rest one by one
 
 
 def test_a_queue_on_one_hub_is_a_few_rounds(spark):
