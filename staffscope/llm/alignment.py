@@ -58,7 +58,7 @@ class Vocabularies:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallelism
         tokenizer = Tokenizer.from_file(vocabulary_path(a))
         tokenizer.encode_special_tokens = True  # special strings in texts are text
-        self.a = Memory(tokenizer, list)
+        self.a = Memory(tokenizer, packed)
         self.b = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(b))
         byte_of = {char: byte for byte, char in enumerate(BYTE_CHARS)}
         vocabulary = tokenizer.get_vocab()
@@ -83,8 +83,8 @@ class Vocabularies:
         self.a_names, self.b_names = ([np.array([f"{n}{mark}" for n in range(size)], object) for mark in marks]
                                       for size, marks in ((len(a_bytes), ",|"), (len(b_bytes), ",;")))
 
-    def ids(self, new: set[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        """Ids of pieces on both sides. B puts a space before what it is given: that space is the piece's own first one,
+    def ids(self, new: set[str]) -> Iterator[tuple[str, bytes, list[int]]]:
+        """Ids of pieces on both sides, those of A packed. B puts a space before what it is given: that space is the piece's own first one,
         and where the piece starts with other white space, which joins no token, it is taken off again."""
         a, listed = self.a.encode_pieces(new), list(new)
         for piece, ids in zip(listed, self.b.encode([p[1:] if p[0] == " " else p for p in listed], num_threads=1)):
@@ -111,7 +111,7 @@ class Pieces:
         new = {piece for cut in cuts for piece in cut if piece not in known}
         long = {}
         for piece, a, b in self.both.ids(new) if new else ():
-            (known if len(piece) <= LONGEST else long)[piece] = (packed(a), packed(b))
+            (known if len(piece) <= LONGEST else long)[piece] = (a, packed(b))
         found = [[long[p] if p in long else known[p] for p in cut] if long else list(map(known.__getitem__, cut)) for cut in cuts]
         return ([b"".join([a for a, _ in one]) for one in found], [b"".join([b for _, b in one]) for one in found])
 
