@@ -12,6 +12,8 @@ Scale: at most `SAMPLE` labelled rows, chosen by a hash, are learned from; they
 a proven bound), so no text is shuffled. Words are counted by Spark; the driver gets at most `CANDIDATES` terms and
 the counts of evidence levels. Every document is scored in place, whole. The model holds at most `TERMS` terms.
 
+Copies are not evidence of their own: of texts with one min-hash of five-word shingles, one teaches.
+
 Cases: labels that are null or of a null `doc_id` teach nothing, a document labelled twice is toxic if one label says so,
 and of documents with one `doc_id` one teaches; null and empty texts have no evidence and score the base rate; rows
 without `doc_id` are scored, not held out; repeated rows are scored alike; without labels there are no terms, and every
@@ -35,7 +37,7 @@ from .common import whole
 
 #: Labelled rows learned from, terms looked at and kept, and lengths of stems.
 SAMPLE, CANDIDATES, TERMS, STEMS = 20_000, 20_000, 2_000, (3, 4, 5, 6, 7)
-THRESHOLD, SEED, LEAST, GATHERED = 0.3, 11, 3, 1_000_000
+THRESHOLD, SEED, LEAST, GATHERED, SHINGLE = 0.3, 11, 3, 1_000_000, 5
 #: Words on either side of a hit, and the strongest evidence of a context.
 WINDOW, STRONGEST = 6, 12.0
 #: Share of a term's weight that the next edit inherits where no label says more.
@@ -201,8 +203,22 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample)
     # at most `sample` rows of a number and a label
-    return cut_lineage(docs.select("doc_id", whole().alias("text")).join(F.broadcast(cut_lineage(chosen)), "doc_id")
-                       .dropDuplicates(["doc_id"]).select("text", F.col("toxic").cast("int").alias("toxic")))
+    texts = (docs.select("doc_id", whole().alias("text")).join(F.broadcast(cut_lineage(chosen)), "doc_id").dropDuplicates(["doc_id"])
+             .select("text", F.col("toxic").cast("int").alias("toxic")))
+    return cut_lineage(texts.mapInArrow(_named_alike, "text string, toxic int, alike long").dropDuplicates(["alike"]).select("text", "toxic"))
+
+
+def _named_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the least hash of their shingles: copies and most near copies have the same, so that a text told a
+    hundred times does not teach its own words as if a hundred people had used them."""
+    import xxhash
+    for batch in batches:
+        names = []
+        for text in batch.column("text").to_pylist():
+            words = text.lower().split()
+            shingles = (" ".join(words[at:at + SHINGLE]) for at in range(max(1, len(words) - SHINGLE + 1)))
+            names.append(min(xxhash.xxh64_intdigest(one.encode("utf-8", "surrogatepass"), SEED) for one in shingles) >> 1)
+        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(names, pa.int64())], ["text", "toxic", "alike"])
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
