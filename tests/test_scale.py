@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from staffscope.operators import companies, derive as ops
 from staffscope.operators.catalog import experience_view
+from staffscope.plans import derive
 
 
 def _companies(spark):
@@ -43,3 +44,15 @@ def test_edges_lie_where_the_links_were_joined(spark):
         assert {(r["route"], r["engagement"]) for r in edges.collect()} == {("title", None), ("skill", "主导")}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_slice_ends_without_its_ids_on_the_driver(spark, monkeypatch):
+    due = spark.range(100).select(F.format_string("%03d", "id").alias("id"))
+
+    def skipping(*_):
+        raise AssertionError("rows are skipped on the driver")
+    monkeypatch.setattr(type(due), "offset", skipping)
+    rows, last = derive.next_slice(due, "009", 30)
+    assert (rows.count(), last) == (30, "039")
+    assert derive.next_slice(due, "089", 30)[1] == "099"
+    assert derive.next_slice(due, "099", 30) is None
