@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from staffscope.functions.text import nfkc
 from staffscope.operators import companies, derive as ops
 from staffscope.operators.catalog import experience_view
 from staffscope.plans import derive
@@ -56,3 +57,22 @@ def test_a_slice_ends_without_its_ids_on_the_driver(spark, monkeypatch):
     assert (rows.count(), last) == (30, "039")
     assert derive.next_slice(due, "089", 30)[1] == "099"
     assert derive.next_slice(due, "099", 30) is None
+
+
+def test_only_texts_beyond_ascii_are_normalised_in_python(spark):
+    rows = spark.createDataFrame([("a b",), ("ＡＢ",), ("",), (None,), ("ab\u2028",)], "t string").select("t", nfkc(F.col("t")).alias("n"))
+    assert {r["t"]: r["n"] for r in rows.collect()} == {"a b": "a b", "ＡＢ": "AB", "": "", None: None, "ab\u2028": "ab\u2028"}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "octet_length" in plan or "CASE WHEN" in plan
+
+
+def test_answers_are_dealt_once(spark):
+    answers = spark.createDataFrame([("s", "", '{"items":[{"text":"ring","depth":"做过"},{"text":"ring","depth":"主导"}]}')], "experience_id string, company string, answer string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ops.conform_extractions(answers)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert [tuple(i) for i in found.collect()[0]["items"]] == [("ring", "主导")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
