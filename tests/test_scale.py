@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from staffscope.checks import lifecycle
 from staffscope.functions.text import nfkc
 from staffscope.operators import companies, derive as ops
 from staffscope.operators.catalog import experience_view
@@ -76,3 +77,15 @@ def test_answers_are_dealt_once(spark):
         assert [tuple(i) for i in found.collect()[0]["items"]] == [("ring", "主导")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_segments_arrive_in_files_for_all_tasks(spark, tmp_path):
+    segments = spark.range(100).selectExpr(*[f"cast(id as string) as {c}" for c in ("id", "kind", "title", "seq_l1", "seq_l2", "seq_l3", "description")], "false as unemployed")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        lifecycle._arriving(spark, segments, str(tmp_path / "in"), 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 12
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 200
