@@ -7,6 +7,7 @@ from staffscope.functions.text import nfkc
 from staffscope.operators import companies, derive as ops
 from staffscope.operators.catalog import experience_view
 from staffscope.plans import derive
+from staffscope.session import laid_by
 
 
 def _companies(spark):
@@ -48,6 +49,25 @@ def test_edges_lie_where_the_links_were_joined(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_what_is_laid_by_segment_is_joined_where_it_lies(spark):
+    segments = spark.createDataFrame([(i, "external", False, "t", "d") for i in ("s", "s", "u", None)], "id string, kind string, unemployed boolean, title string, description string")
+    segment = laid_by(segments.selectExpr("*", "'' as seq_l1", "'' as seq_l2", "'' as seq_l3"), "id")
+    assert sorted(str(r["id"]) for r in segment.collect()) == ["None", "s", "s", "u"]
+    read = segment.filter("id = 'u'").select(F.col("id").alias("experience_id"), F.expr("array(struct('ring' as text, '主导' as engagement))").alias("items"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = ops.spelled_edges(ops.phrases_of(segment, read))
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        edges = laid_by(made, "experience_id", dealt=True)
+        found = edges.join(segment.select("id", "kind"), F.col("experience_id") == F.col("id"))
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["id"], r["route"], r["text"]) for r in found.collect()) == [
+            ("s", "description", "d")] * 2 + [("s", "title", "t")] * 2 + [("u", "skill", "ring"), ("u", "title", "t")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_slice_ends_without_its_ids_on_the_driver(spark, monkeypatch):
     due = spark.range(100).select(F.format_string("%03d", "id").alias("id"))
 
