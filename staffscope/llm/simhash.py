@@ -62,12 +62,12 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(text: Column) -> Column:
+def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint of each text as a signed 64-bit integer."""
     @F.arrow_udf("long")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pa.array(np.array([fingerprint(t or "") for t in batch.to_pylist()], np.uint64).view(np.int64))
+            yield pa.array(np.array([fingerprint(t or "", shingle) for t in batch.to_pylist()], np.uint64).view(np.int64))
     return of(text)
 
 
@@ -123,12 +123,14 @@ class _Forest:
             up[node] = node = up.get(above, above)
         return node
 
-    def _link(self, one: int, other: int) -> None:
+    def _link(self, one: int, other: int) -> bool:
+        """Whether the link joined two trees."""
         a, b = self._root(one), self._root(other)
         if a != b:
             self._up[max(a, b)] = min(a, b)
             self.a.append(one)
             self.b.append(other)
+        return a != b
 
     def connect(self, key, pieces: list[np.ndarray]) -> None:
         fps = np.concatenate(pieces) if pieces else np.empty(0, np.int64)

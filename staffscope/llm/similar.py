@@ -1,4 +1,4 @@
-"""Near-duplicates by exact shingle similarity: a prefix filter over all word shingles, candidates verified on whole sets.
+"""Near-duplicates by exact shingle similarity: the SimHash index and a prefix filter over all word shingles, candidates verified on whole sets.
 
 At a Jaccard similarity of 0.8 two SimHashes differ in about 10 of 64 bits, too many for a guaranteed minimum of shared
 bytes, so this stage compares the shingles themselves. Shingles stand in one order, rare ones first. Two sets of
@@ -7,10 +7,13 @@ shares a posting list, and none is missed. Parities of the sets, two to four bit
 differ in too much; the others are verified by the sizes of their sets and of the intersection. Shingles and texts are
 told apart by 64-bit hashes.
 
+First the SimHash index (`simhash.links`, fingerprints of the same shingles) names pairs: near copies of few different bits,
+verified like any other pair. The prefix filter finds what 3 bits of 64 miss.
+
 Scale: lists of one text, nearly all, end in the task that meets them. Each longer list first pairs its texts with its
 shortest one, each text with the shortest of all it meets, which joins a group of copies in linear work. Lists that still hold several components are then searched
 where they lie, with the parities of their texts beside them: of the pairs that may be similar a list gives as many as
-connect them, one per component at most, not all of them. Once these are verified, what may be similar and is not
+connect them, one per component at most, not all of them, and lists of one task do not repeat each other's. Once these are verified, what may be similar and is not
 connected yet, which is little, is given in full; so every pair is compared or connected by others. Long lists are cut in
 chunks that meet pairwise, so no task holds more than two. The order comes from counts in a sample: it decides what lists
 hold, never what is found. At most `RANKED` counts reach the driver. Only texts in pairs that are left are read as sets.
@@ -32,6 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.graph import connected_components
 from ..operators.numbering import numbered
 from ..session import cut_lineage
+from . import simhash
 from .common import chosen_rows, same_text, whole
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -190,25 +194,33 @@ def _hits(n: np.ndarray, chunk: np.ndarray, maps: list[bytes], least: Fraction)
 def _crossing(least: Fraction, every: bool):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of a list of different components that may be similar: enough to connect all that may be, or all of them.
-        Lists arrive one after the other, by size."""
-        last, rest, found, held = None, [], [], 0
+        Lists arrive one after the other, by size. What one list of the task has connected the next does not connect
+        again; a list that holds nothing else is named in a row without a pair."""
+        last, rest, found, held, forest = None, [], [], 0, simhash._Forest()
 
         def out() -> pa.RecordBatch:
             made = np.unique(np.concatenate([*found, np.empty((0, 3), np.int64)]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1]), pa.array(made[:, 2].astype(np.int32))], ["a", "b", "key"])
+            bare = made[:, 0] == made[:, 1]
+            return pa.RecordBatch.from_arrays([pa.array(made[:, 0], mask=bare), pa.array(made[:, 1], mask=bare), pa.array(made[:, 2].astype(np.int32))], ["a", "b", "key"])
 
         def met() -> Iterator[np.ndarray]:
             if not rest:
                 return
             table = pa.concat_tables(rest)
             same, n, chunk = (table.column(name).to_numpy().astype(np.int64) for name in ("same", "n", "chunk"))
-            _, part = np.unique(table.column("label").to_numpy(), return_inverse=True)
+            label = table.column("label").to_numpy()
+            _, part = np.unique(label, return_inverse=True)
+            named = False
             for row, others in _hits(n, chunk, table.column("parities").to_pylist(), least):
                 others = others[part[others] != part[row]]
                 if not every and len(others):
                     merged, at = np.unique(part[others], return_index=True)  # one link to each component not met yet
                     others = others[at]
                     part[np.isin(part, merged)] = part[row]
+                    new = [forest._link(int(label[row]), int(label[other])) for other in others]
+                    if not (named or any(new)):
+                        yield np.array([[0, 0, last[0]]])
+                    named, others = True, others[new]
                 if len(others):
                     yield np.stack([np.minimum(same[others], same[row]), np.maximum(same[others], same[row]), np.full(len(others), last[0])], axis=1)
         for batch in batches:
@@ -266,6 +278,18 @@ def _verified(texts: DataFrame, pairs: DataFrame, size: int, least: Fraction) ->
     return cut_lineage(both.filter(shared * (p + q) >= (F.size("of_a") + F.size("of_b")).cast("long") * p).select("a", "b"))
 
 
+def _by_fingerprint(texts: DataFrame, size: int) -> DataFrame:
+    """(a, b): texts the SimHash index links, to be verified like other pairs. Of texts with one fingerprint the smallest
+    stands for it and is paired with each of the others: a link per text, and one per link of the index."""
+    rows = cut_lineage(texts.select("same", simhash.fingerprints(F.col("text"), size).alias("fp")).distinct())
+    first = cut_lineage(rows.groupBy("fp").agg(F.min("same").alias("first")))
+    alike = rows.join(first, "fp").filter(F.col("same") != F.col("first")).select(F.col("first").alias("a"), F.col("same").alias("b"))
+    near = cut_lineage(simhash.links(first.select("fp")))
+    of = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}"))
+    linked = near.join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return alike.unionByName(linked)
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(same, label) of each text that is similar to another; `same` names a text, the label is the smallest one reachable."""
     least = Fraction(str(similarity))
@@ -277,17 +301,18 @@ def components(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     to_head = shared.join(heads, "key").filter((F.col("same") != F.col("head.same")) & fits)
     # of all heads it meets a text tries the shortest: a link per text, however many lists it is in
     best = to_head.groupBy("same").agg(F.min("head").alias("head"))
-    tried = cut_lineage(best.select(F.least("same", "head.same").alias("a"), F.greatest("same", "head.same").alias("b")).distinct())
+    heads = best.select(F.least("same", "head.same").alias("a"), F.greatest("same", "head.same").alias("b"))
+    tried = cut_lineage(_by_fingerprint(texts, shingle).unionByName(heads).distinct())
     found = _verified(texts, _possible(tried, read, least), shingle, least)
     known = cut_lineage(_labels(connected_components(found)))
     lists = None
-    for every in (False, True):
+    for every in (False, False, True):  # what a link that failed had kept apart is connected before all pairs are given
         labelled = cut_lineage(shared.join(known, "same", "left").select("key", "same", "n", F.coalesce("label", "same").alias("label")))
         if lists is not None:  # the others hold nothing that may be similar and is not connected
             labelled = labelled.join(lists, "key", "left_semi")
         placed = _open_lists(labelled, read, least).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "same")
         met = cut_lineage(placed.mapInArrow(_crossing(least, every), "a long, b long, key int"))
-        crossing = cut_lineage(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        crossing = cut_lineage(met.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         lists = met.select("key").distinct()
         if met.isEmpty():
             break

@@ -6,12 +6,15 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import brute
 import numpy as np
 import public_tokenizers as tokenizers_at
+import pyarrow as pa
 import pytest
 from conftest import odd_rows, odd_texts
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from staffscope.llm import byte_bpe, chat, chunks, exact_dedup, mixing, quality, sharding, simhash, similar, token_counts, token_files, url_filters, wavelet
@@ -234,6 +237,29 @@ def test_similar_documents(spark, odd, none, monkeypatch):
     assert similar.keep_one(odd).columns == odd.columns and similar.keep_one(none).count() == 0
 
 
+def test_similar_documents_come_through_the_fingerprint_index(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (2, "A b c d e f"), (3, "other")], "same long, text string")
+    assert [tuple(r) for r in similar._by_fingerprint(texts, 5).collect()] == [(1, 2)]
+
+    class Asked(Exception):
+        pass
+
+    def asked(distinct):
+        raise Asked
+    monkeypatch.setattr(simhash, "links", asked)
+    with pytest.raises(Asked):
+        similar.keep_one(texts.select(F.col("same").alias("doc_id"), "text"))
+
+
+def test_lists_with_the_same_texts_give_their_links_once():
+    rng = np.random.default_rng(3)
+    sets = [np.concatenate([np.arange(1, 101), rng.integers(1 << 40, size=2)]).astype(np.uint64) for _ in range(6)]
+    batches = [pa.RecordBatch.from_pydict({"key": pa.array([key] * 6, pa.int32()), "i": [0] * 6, "j": [0] * 6, "chunk": [0] * 6, "n": [102] * 6, "same": list(range(6)),
+                                           "label": list(range(6)), "parities": [similar._parities(one) for one in sets]}) for key in range(9)]
+    rows = [row for batch in similar._crossing(Fraction("0.8"), False)(iter(batches)) for row in batch.to_pylist()]
+    assert len([row for row in rows if row["a"] is not None]) == 5 and {row["key"] for row in rows} == set(range(9))
+
+
 def test_pipeline_drops_near_copies_from_a_similarity_of_four_fifths(spark):
     import corpus_pipeline
     rng = random.Random(6)
