@@ -130,8 +130,10 @@ class Memory:
     def encode_pieces(self, wanted: set[str]) -> dict[str, object]:
         """A dictionary that has what is kept of each of these pieces, until the next call."""
         known = self._known
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED:  # what is asked now is what is asked often: it need not be learned again
+            kept = {piece: known[piece] for piece in wanted if piece in known}
             known.clear()
+            known.update(kept)
         for piece in self._passing:
             known.pop(piece, None)
         self._passing = self._learn(wanted.difference(known))
