@@ -25,23 +25,26 @@ def write(ids: np.ndarray, doc_ids: list[int | None], counts: list[int]) -> byte
     levels = max(1, int(ids.max()).bit_length() if len(ids) else 1)
     packer = zstandard.ZstdCompressor(level=1)
     sequence = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+    split, times = np.empty_like(sequence), np.bincount(sequence)
     zeros, befores, sizes, blocks = [], [], [], []
     for level in range(levels - 1, -1, -1):
-        ones = (sequence & np.array(1 << level, sequence.dtype)).astype(bool)
-        packed = np.packbits(ones, bitorder="little")
-        split, seen = ([], []), 0
-        for at in range(0, len(packed), BLOCK // 8):
-            plain = packed[at:at + BLOCK // 8]
-            small = packer.compress(plain.tobytes())
-            blocks.append(b"\1" + small if len(small) < len(plain) else b"\0" + plain.tobytes())
-            befores.append(seen)
+        bit = np.array(1 << level, sequence.dtype)
+        zeros.append(int(times[np.arange(len(times)) >> level & 1 == 0].sum()))
+        zero, one = 0, zeros[-1]
+        for at in range(0, len(sequence), BLOCK):  # a block at a time, which stays in the processor's cache
+            here = sequence[at:at + BLOCK]
+            ones = (here & bit) != 0
+            plain = np.packbits(ones, bitorder="little").tobytes()
+            small = packer.compress(plain)
+            blocks.append(b"\1" + small if len(small) < len(plain) else b"\0" + plain)
+            befores.append(one - zeros[-1])
             sizes.append(len(blocks[-1]))
-            seen += int(np.bitwise_count(plain).sum())
-            here, one = sequence[8 * at:8 * at + BLOCK], ones[8 * at:8 * at + BLOCK]
-            split[0].append(here.take(np.flatnonzero(~one)))  # by places, which is quicker than by a mask
-            split[1].append(here.take(np.flatnonzero(one)))
-        zeros.append(len(sequence) - seen)
-        sequence = np.concatenate([*split[0], *split[1], sequence[:0]])
+            places = np.flatnonzero(~ones)  # by places, which is quicker than by a mask
+            here.take(places, out=split[zero:zero + len(places)], mode="clip")
+            zero, places = zero + len(places), np.flatnonzero(ones)
+            here.take(places, out=split[one:one + len(places)], mode="clip")
+            one += len(places)
+        sequence, split = split, sequence
     table = packer.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes()
                             + np.array([d is not None for d in doc_ids], "u1").tobytes() + np.array(counts, "<u8").tobytes())
     return b"".join([MAGIC, struct.pack("<QQQ", len(ids), levels, len(doc_ids)), np.array(zeros, "<u8").tobytes(),
@@ -139,19 +142,19 @@ class WaveletFile:
     def tokens(self) -> np.ndarray:
         """All ids in order: the stable splits undone from the last plane up."""
         ids = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
+        above = np.empty_like(ids)
         for level in range(self.levels - 1, -1, -1):
-            above, zero, one = np.empty_like(ids), 0, self._zeros[level]
+            zero, one = 0, self._zeros[level]
             bit = np.array(1 << self.levels - 1 - level, ids.dtype)
-            ids[one:] |= bit
             for block in range(self._per_level):  # a block at a time, whose places stay in the processor's cache
                 here = above[block * BLOCK:(block + 1) * BLOCK]
                 ones = np.unpackbits(self._read_block(level * self._per_level + block), count=len(here), bitorder="little").view(bool)
                 places = np.flatnonzero(~ones)
                 here[places] = ids[zero:zero + len(places)]
                 zero, places = zero + len(places), np.flatnonzero(ones)
-                here[places] = ids[one:one + len(places)]
+                here[places] = ids[one:one + len(places)] | bit
                 one += len(places)
-            ids = above
+            ids, above = above, ids
         return ids.astype(np.uint32)
 
     def table(self) -> tuple[list[int | None], np.ndarray]:
