@@ -59,3 +59,9 @@ def test_a_cap_goes_on_round_by_round(spark):
     assert reading.read_until_done(search, texts, judge(True), cap=2).count() == 2
     every = reading.read_until_done(search, texts, judge(True)).count()
     assert reading.read_until_done(search, texts, judge(True), cap=100).count() == every
+
+
+def test_hits_keep_only_what_is_asked_of_them(spark):
+    search, _ = searched(spark, condition("widget", "must"), condition("anvil", "exclude"))
+    assert "content" not in search.segments.columns
+    assert set(search.segments.columns) < {*search.all_facts.columns}
