@@ -20,8 +20,8 @@ import pyarrow as pa
 
 #: Pieces a worker remembers, and the longest piece worth remembering; beyond them pieces are encoded again.
 REMEMBERED, LONGEST = 500_000, 64
-#: Characters of text cut together: few enough that their pieces stay in the processor's cache.
-AT_ONCE = 200_000
+#: Characters of text cut together.
+AT_ONCE = 2_000_000
 #: Marks that may stand behind a word; no apostrophe, which can belong to a contraction.
 _MARKS = "!#$%&*+,-./:;?@\\^_`|~=)]}"
 
@@ -106,10 +106,9 @@ class Memory:
     """
 
     def __init__(self, tokenizer, keep: Callable[[list[int]], object], cut: Callable[[str], list[str]] = pieces,
-                 letters: Callable[[str], str] = spaced_letters, most: int | None = None):
-        self._tokenizer, self._keep, self._cut, self._letters, self._most = tokenizer, keep, cut, letters, most
+                 letters: Callable[[str], str] = spaced_letters):
+        self._tokenizer, self._keep, self._cut, self._letters = tokenizer, keep, cut, letters
         self._known: dict[str, object] = {}
-        self._before: dict[str, object] = {}  # what was known when the memory was last half full
 
     def encode(self, texts: list[str]) -> Iterator[list]:
         """Per text what is kept of each of its pieces, in order. Texts are taken together up to `AT_ONCE` characters."""
@@ -124,38 +123,22 @@ class Memory:
 
     def _together(self, texts: list[str]) -> Iterator[list]:
         cuts = [self._cut(text) for text in texts]
-        known = self._room()
-        rows = [list(map(known.get, cut)) for cut in cuts]  # most pieces are known: one look-up each
-        gaps = [[at for at, kept in enumerate(row) if kept is None] for row in rows]
-        self._know({cut[at] for cut, places in zip(cuts, gaps) for at in places})
-        for cut, row, places in zip(cuts, rows, gaps):
-            for at in places:
-                row[at] = known[cut[at]]
-            yield row
+        known = self.encode_pieces(set().union(*cuts))
+        for cut in cuts:
+            yield list(map(known.__getitem__, cut))
 
     def encode_pieces(self, wanted: set[str]) -> dict[str, object]:
         """A dictionary that has what is kept of each of these pieces, until the next call."""
-        known = self._room()
-        self._know(wanted.difference(known))
-        return known
-
-    def _room(self) -> dict[str, object]:
-        """What is known, without what was too long to be remembered. Half the memory is for pieces asked lately, half for
-        those before: one that is asked again in time need not be learned again."""
         known = self._known
+        if len(known) > REMEMBERED:  # what is asked now is what is asked often: it need not be learned again
+            kept = {piece: known[piece] for piece in wanted if piece in known}
+            known.clear()
+            known.update(kept)
         for piece in self._passing:
             known.pop(piece, None)
-        if len(known) > (self._most or REMEMBERED) // 2:
-            self._before = dict(known)
-            known.clear()
+        self._passing = self._learn(wanted.difference(known))
         return known
 
-    def _know(self, new: set[str]) -> None:
-        before = self._before
-        again = {piece: before[piece] for piece in new if piece in before} if before else {}
-        self._known.update(again)
-        self._passing = self._learn(new.difference(again) if again else new)
-
     #: Pieces too long to be remembered beyond a call.
     _passing: list[str] = []
 
@@ -163,8 +146,8 @@ class Memory:
         known, tokenize, letters, keep = self._known, self._tokenizer.model.tokenize, self._letters, self._keep
         split, plain = [], set()
         for piece in new:
-            stem = piece.rstrip(_MARKS) if piece[-1:] in _MARKS else ""
-            if stem and stem[-1].isalpha() and stem[-1].lower()[-1].isalpha():
+            stem = piece.rstrip(_MARKS)
+            if len(stem) < len(piece) and stem and stem[-1].isalpha() and stem[-1].lower()[-1].isalpha():
                 tail = piece[len(stem):]
                 split.append((piece, stem, tail))
                 if stem not in known:
@@ -196,7 +179,7 @@ def counting_memory(name: str) -> Memory:
 @lru_cache(maxsize=None)
 def lower_word_memory(name: str) -> Memory:
     """The worker's memory of ids, as little-endian unsigned 32-bit integers, of a tokenizer that drops white space."""
-    return Memory(library_tokenizer(name), packed, lower_words, lower_letters, 2 * REMEMBERED)
+    return Memory(library_tokenizer(name), packed, lower_words, lower_letters)
 
 
 def slices(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBatch]:
