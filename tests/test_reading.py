@@ -65,3 +65,16 @@ def test_hits_keep_only_what_is_asked_of_them(spark):
     search, _ = searched(spark, condition("widget", "must"), condition("anvil", "exclude"))
     assert "content" not in search.segments.columns
     assert set(search.segments.columns) < {*search.all_facts.columns}
+
+
+def test_the_reading_list_is_in_reading_order(spark):
+    """Level first, no level last; then depth, person, condition and segment."""
+    search, _ = searched(spark, condition("widget", "must"), condition("anvil", "must"))
+    levels = {"p0": None, "p1": 2, "p2": 1, "p3": 2}
+    depths = {"p0": 0.9, "p1": 0.1, "p2": 0.8, "p3": 0.5}
+    rows = [(cond, f"s{n}", person, levels[person], depths[person]) for n, person in enumerate(["p0", "p1", "p2", "p3"] * 2) for cond in (1, 0)]
+    search.pending = spark.createDataFrame(rows, "cond int, id string, emp_id string, level_rank int, depth double").withColumn("boost", F.lit(False))
+    got = sorted(search.reading_list().collect(), key=lambda row: row.place)
+    assert [row.place for row in got] == [*range(1, 17)]
+    wanted = sorted(rows, key=lambda row: (row[3] is None, -(row[3] or 0), -row[4], row[2], row[0], row[1]))
+    assert [(row.cond, row.id) for row in got] == [(row[0], row[1]) for row in wanted]
