@@ -38,6 +38,8 @@ A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_TOKENS, BLOCK_DOCS, SLICE = 1_000_000, 4096, 1_000_000
 #: Pieces a worker remembers, and the longest one worth it; links of a group that are written out one by one.
 REMEMBERED, LONGEST, LINKS = 200_000, 64, 4096
+#: Pieces the memory of A keeps besides, for their stems; blocks a reader of the written blocks unpacks together.
+STEMS, READ_BLOCKS = 50_000, 4
 #: Distinct pairs a task adds up before it passes them on.
 GATHERED = 1 << 21
 BLOCK = ("block long, doc_ids array<long>, numbers array<long>, shas array<string>, pairs array<int>, docs array<int>, "
@@ -58,7 +60,7 @@ class Vocabularies:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallelism
         tokenizer = Tokenizer.from_file(vocabulary_path(a))
         tokenizer.encode_special_tokens = True  # special strings in texts are text
-        self.a = Memory(tokenizer, packed)
+        self.a = Memory(tokenizer, packed, remembered=STEMS)
         self.b = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(b))
         byte_of = {char: byte for byte, char in enumerate(BYTE_CHARS)}
         vocabulary = tokenizer.get_vocab()
@@ -276,7 +278,8 @@ _ANSWER = {name: pa.int64() for name in ("doc_id", "n_a", "n_b", "n_groups", "n_
 
 def align(docs: DataFrame, a: str = A, b: str = B) -> tuple[DataFrame, DataFrame]:
     """The aligned documents in blocks, and (pair, docs): how many documents hold each pair."""
-    blocks = cut_lineage(docs.select("doc_id", whole().alias("text"), F.spark_partition_id().alias("part")).mapInArrow(_blocks(a, b), BLOCK))
+    blocks = cut_lineage(docs.select("doc_id", whole().alias("text"), F.spark_partition_id().alias("part")).mapInArrow(_blocks(a, b), BLOCK),
+                         at_once=READ_BLOCKS)
     met = blocks.select("pairs", "docs").mapInArrow(_tally(len(vocabularies(a, b).a_lengths)), "pair int, docs long")
     return blocks, cut_lineage(met.groupBy("pair").agg(F.sum("docs").alias("docs")))
 

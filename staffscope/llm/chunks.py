@@ -106,8 +106,8 @@ class Memory:
     """
 
     def __init__(self, tokenizer, keep: Callable[[list[int]], object], cut: Callable[[str], list[str]] = pieces,
-                 letters: Callable[[str], str] = spaced_letters):
-        self._tokenizer, self._keep, self._cut, self._letters = tokenizer, keep, cut, letters
+                 letters: Callable[[str], str] = spaced_letters, remembered: int | None = None):
+        self._tokenizer, self._keep, self._cut, self._letters, self._remembered = tokenizer, keep, cut, letters, remembered
         self._known: dict[str, object] = {}
 
     def encode(self, texts: list[str]) -> Iterator[list]:
@@ -130,7 +130,7 @@ class Memory:
     def encode_pieces(self, wanted: set[str]) -> dict[str, object]:
         """A dictionary that has what is kept of each of these pieces, until the next call."""
         known = self._known
-        if len(known) > REMEMBERED:  # what is asked now is what is asked often: it need not be learned again
+        if len(known) > (self._remembered or REMEMBERED):  # what is asked now is what is asked often: it need not be learned again
             kept = {piece: known[piece] for piece in wanted if piece in known}
             known.clear()
             known.update(kept)

@@ -10,6 +10,8 @@ import sentencepiece
 from conftest import odd_rows, odd_texts
 from tokenizers import Tokenizer
 
+import pyarrow.parquet as pq
+
 from staffscope.llm import alignment
 from staffscope.llm.queries import QUERIES
 
@@ -124,3 +126,12 @@ def test_whole_table(spark):
     got = QUERIES["op12_alignment"](spark, sf)
     assert got.columns[:8] == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     same(tuples(got), list(plain_alignments(rows)))
+
+
+def test_few_blocks_are_read_together(spark):
+    """However many blocks a file holds, a reader unpacks a few; and a worker's second memory is small."""
+    blocks, _ = alignment.align(spark.range(60_000).selectExpr("id as doc_id", "'a' as text").coalesce(1))
+    files = [pq.ParquetFile(file.removeprefix("file://")).metadata for file in blocks.inputFiles()]
+    assert sum(file.num_rows for file in files) > alignment.READ_BLOCKS
+    assert max(file.row_group(n).num_rows for file in files for n in range(file.num_row_groups)) <= alignment.READ_BLOCKS
+    assert alignment.vocabularies(alignment.A, alignment.B).a._remembered == alignment.STEMS

@@ -13,3 +13,10 @@ def test_a_full_memory_keeps_what_is_asked_now(monkeypatch):
     found = [b"".join(row) for text in texts for row in memory.encode([text])]
     assert found == plain
     assert learned[:2] == [["four", "one", "three", "two"], ["five"]]  # "four" was known and stays so
+
+
+def test_a_memory_may_be_smaller():
+    memory = chunks.Memory(chunks.library_tokenizer("word_bpe_49k.json"), chunks.packed, chunks.lower_words, chunks.lower_letters, remembered=3)
+    for text in ("one two three four", "five six", "seven"):
+        list(memory.encode([text]))
+    assert len(memory._known) <= 3
