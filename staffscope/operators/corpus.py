@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
+
 
 # --- reconcile --------------------------------------------------------------------------------
 DERIVED = ["seq_inferred_l1", "seq_inferred_l2", "derived_identity", "unanswered"]
@@ -90,22 +92,29 @@ REFERENCES = [
 
 def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, constraint, violations) for every rule, key and reference of the tables given."""
+    rules, given = _rules(), {}
+    for table, df in tables.items():
+        asked = [*KEYS.get(table, []), *[column for name, column, target, _ in REFERENCES if name == table and target in tables],
+                 *[key for name, _, target, key in REFERENCES if target == table and name in tables]]
+        broken = [(~F.coalesce(ok, F.lit(False))).alias(f"!{name}") for name, ok in rules.get(table, {}).items()]
+        # read once: what is asked below is a few names and a flag for each rule
+        given[table] = cut_lineage(df.select(*dict.fromkeys(asked), *broken)) if asked or broken else df
     found = []
-    for table, rules in _rules().items():
+    for table, named in rules.items():
         if table not in tables:
             continue
-        counts = tables[table].agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()])
-        pairs = ", ".join(f"'{name}', `{name}`" for name in rules)
-        found.append(counts.selectExpr(f"'{table}' as `table`", f"stack({len(rules)}, {pairs}) as (constraint, violations)"))
+        counts = given[table].agg(*[F.count_if(F.col(f"`!{name}`")).alias(name) for name in named])
+        pairs = ", ".join(f"'{name}', `{name}`" for name in named)
+        found.append(counts.selectExpr(f"'{table}' as `table`", f"stack({len(named)}, {pairs}) as (constraint, violations)"))
     for table, key in KEYS.items():
         if table in tables:
-            twice = tables[table].groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+            twice = given[table].groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
             found.append(twice.agg(F.count("*").alias("violations"))
                          .select(F.lit(table).alias("table"), F.lit("key").alias("constraint"), "violations"))
     for table, column, target, key in REFERENCES:
         if table in tables and target in tables:
-            lost = (tables[table].filter(F.col(column).isNotNull())
-                    .join(tables[target].select(F.col(key).alias("_key")), F.col(column) == F.col("_key"), "left_anti"))
+            lost = (given[table].filter(F.col(column).isNotNull())
+                    .join(given[target].select(F.col(key).alias("_key")), F.col(column) == F.col("_key"), "left_anti"))
             found.append(lost.agg(F.count("*").alias("violations"))
                          .select(F.lit(table).alias("table"), F.lit(f"{column} in {target}").alias("constraint"), "violations"))
     return reduce(DataFrame.unionByName, found)
